@@ -1,0 +1,4 @@
+"""Registered queries: name -> (Spark callable, SQL twin or None)."""
+from . import pairs
+
+CATALOG = {**pairs.QUERIES}

@@ -38,21 +38,24 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     size4, size6 = F.col("p_size") % 4, F.col("p_size") % 6
-    file = F.concat(F.lower("p_type"), F.when(size4 == 2, "/test_mod").otherwise("/mod"), size6,
-                    F.when(size4 == 1, ".ts").when(size4 == 3, ".ps1").otherwise(".py"))
+    env = F.col("p_size") % 12 == 11
+    file = F.concat(F.lower("p_type"), F.when(env, F.when(F.col("p_size") % 24 == 23, "/.env.example").otherwise("/.env")).otherwise(
+        F.concat(F.when(size4 == 2, "/test_mod").otherwise("/mod"), size6.cast("string"),
+                 F.when(size4 == 1, ".ts").when(size4 == 3, ".ps1").otherwise(".py"))))
     status = F.when(seq % 11 == 0, "drifted").when(seq % 11 == 1, "missing").when(
         seq % 11 == 2, "file_deleted").otherwise("active")
     name = pick(5, F.upper(sn), sn, F.concat(one, F.initcap(two)), F.concat(F.upper(sn), F.lit("_LIMIT")),
                 F.concat(F.lit("MAX_"), F.upper(two)))
-    value = pick(3, text('"https://svc-%d.internal/api"', seq % 40), text("%d", seq % 97),
-                 text('os.environ.get("K%d")', seq % 9))
+    link = F.concat(F.lit("load("), F.upper(sn), F.lit(")"))
+    value = F.when(seq % 10 == 7, link).otherwise(pick(3, text('"https://svc-%d.internal/api"', seq % 40), text("%d", seq % 97),
+                 text('os.environ.get("K%d")', seq % 9)))
     at = (F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + seq * 60).cast("timestamp")
     df = table(spark, sf_dir, "part").select(
         seq.alias("seq"), F.col("p_brand").alias("project"), file.alias("file"),
         F.when(seq % 7 == 0, "run").otherwise("").alias("scope"), name.alias("name"),
-        F.when(size4 == 1, "typescript").when(size4 == 3, "powershell").otherwise("python").alias("lang"),
-        F.lit("assign").alias("kind"), (seq % 400 + 1).cast("int").alias("line"), value.alias("value"),
-        F.lit(None).cast("string").alias("anno"), status.alias("status"),
+        F.when(env, "env").when(size4 == 1, "typescript").when(size4 == 3, "powershell").otherwise("python").alias("lang"),
+        F.when(seq % 29 == 0, "const-destructure").otherwise("assign").alias("kind"), (seq % 400 + 1).cast("int").alias("line"), value.alias("value"),
+        F.when(seq % 31 == 0, F.upper(sn)).alias("anno"), status.alias("status"),
         F.format_string("s%d", seq % 31).alias("first_session"),
         F.format_string("s%d", seq % 37).alias("last_session"),
         at.alias("at"), pick(3, F.lit("scan"), F.lit("claude"), F.lit("kilo")).alias("origin"))
@@ -82,9 +85,9 @@ def as_registry(a: DataFrame) -> DataFrame:
 ASSIGNMENTS = """
 assignments AS (
   SELECT p_partkey AS seq, p_brand AS project,
-    lower(p_type) || CASE WHEN p_size % 4 = 2 THEN '/test_mod' ELSE '/mod' END
-      || (p_size % 6)::varchar
-      || CASE p_size % 4 WHEN 1 THEN '.ts' WHEN 3 THEN '.ps1' ELSE '.py' END AS file,
+    lower(p_type) || CASE WHEN p_size % 24 = 23 THEN '/.env.example' WHEN p_size % 12 = 11 THEN '/.env'
+      ELSE CASE WHEN p_size % 4 = 2 THEN '/test_mod' ELSE '/mod' END || (p_size % 6)::varchar
+      || CASE p_size % 4 WHEN 1 THEN '.ts' WHEN 3 THEN '.ps1' ELSE '.py' END END AS file,
     CASE WHEN p_partkey % 7 = 0 THEN 'run' ELSE '' END AS scope,
     CASE p_partkey % 5
       WHEN 0 THEN upper(replace(lower(p_name), ' ', '_'))
@@ -93,12 +96,15 @@ assignments AS (
         || split_part(lower(p_name), ' ', 2)[2:]
       WHEN 3 THEN upper(replace(lower(p_name), ' ', '_')) || '_LIMIT'
       ELSE 'MAX_' || upper(split_part(lower(p_name), ' ', 2)) END AS name,
-    CASE p_size % 4 WHEN 1 THEN 'typescript' WHEN 3 THEN 'powershell' ELSE 'python' END AS lang,
-    'assign' AS kind, (p_partkey % 400 + 1)::int AS line,
-    CASE p_partkey % 3
+    CASE WHEN p_size % 12 = 11 THEN 'env' WHEN p_size % 4 = 1 THEN 'typescript'
+      WHEN p_size % 4 = 3 THEN 'powershell' ELSE 'python' END AS lang,
+    CASE WHEN p_partkey % 29 = 0 THEN 'const-destructure' ELSE 'assign' END AS kind,
+    CASE WHEN p_partkey % 31 = 0 THEN upper(replace(lower(p_name), ' ', '_')) END AS anno, (p_partkey % 400 + 1)::int AS line,
+    CASE WHEN p_partkey % 10 = 7 THEN 'load(' || upper(replace(lower(p_name), ' ', '_')) || ')'
+    ELSE CASE p_partkey % 3
       WHEN 0 THEN '"https://svc-' || (p_partkey % 40)::varchar || '.internal/api"'
       WHEN 1 THEN (p_partkey % 97)::varchar
-      ELSE 'os.environ.get("K' || (p_partkey % 9)::varchar || '")' END AS value,
+      ELSE 'os.environ.get("K' || (p_partkey % 9)::varchar || '")' END END AS value,
     CASE p_partkey % 11 WHEN 0 THEN 'drifted' WHEN 1 THEN 'missing' WHEN 2 THEN 'file_deleted'
       ELSE 'active' END AS status,
     's' || (p_partkey % 31)::varchar AS first_session, 's' || (p_partkey % 37)::varchar AS last_session,

@@ -67,13 +67,11 @@ def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
         ).alias("link_words"),
         F.filter(F.array_distinct(F.regexp_extract_all(
             visible, F.lit(r"(?U)[A-Za-z_$][\w$]*"), F.lit(0))), N.constant_like).alias("mentions"),
-        # display columns, read back by `with_sides`
-        F.struct(
-            F.coalesce(F.when(F.col("repo_line") != 0, F.col("repo_line")), F.col("line")).alias("line"),
-            value.alias("value"), F.col("origin").alias("origin"),
-            X.prefix(F.col("last_session"), 8).alias("last_session"), F.col("note").alias("note"),
-            F.col("repo_value_preview").alias("repo_value"), F.col("redacted").alias("redacted"),
-        ).alias("show"))
+        # display columns of the sides
+        F.coalesce(F.when(F.col("repo_line") != 0, F.col("repo_line")), F.col("line")).alias("show_line"),
+        value.alias("show_value"), F.col("origin").alias("show_origin"),
+        X.prefix(F.col("last_session"), 8).alias("show_last_session"), F.col("note").alias("show_note"),
+        F.col("repo_value_preview").alias("show_repo_value"), F.col("redacted").alias("show_redacted"))
 
 
 def _norm_all(words: list[str]) -> Column:
@@ -160,19 +158,30 @@ def blocked_pairs(feats: DataFrame, sizes: DataFrame, max_bucket: int = 200) ->
     The block rows carry their features, so a pair needs no second look-up of
     its sides; the copies a pair gets from several blocks are merged after
     scoring, where most candidates are gone."""
-    sides = feats.select("project", F.struct(*[c for c in feats.columns if c != "project"]).alias("row"),
-                         F.explode(_keys()).alias("block"))
-    rows = filter_blocks(sides, max_bucket, sizes)
-    a = rows.select("project", "block", F.col("row").alias("a"))
-    b = rows.select("project", "block", F.col("row").alias("b"))
-    return (a.hint("merge").join(b, ["project", "block"])
-            .filter((F.col("a.id") < F.col("b.id")) & eligible(F.col("a"), F.col("b")))
-            .drop("block"))
+    rows = filter_blocks(feats.withColumn("block", F.explode(_keys())), max_bucket, sizes)
+    own = [c for c in feats.columns if c != "project"]
+    left = rows.select("project", "block", *[F.col(c).alias(f"a_{c}") for c in own])
+    right = rows.select("project", "block", *[F.col(c).alias(f"b_{c}") for c in own])
+    a, b = Side("a"), Side("b")
+    return (left.hint("merge").join(right, ["project", "block"])
+            .filter((a["id"] < b["id"]) & eligible(a, b)).drop("block"))
+
+
+class Side:
+    """Columns of one side of a pair: Side('a')['name'] is column a_name.
+
+    Flat columns rather than a struct per side, so Spark prunes each one."""
+
+    def __init__(self, tag: str):
+        self.tag = tag
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self.tag}_{name}")
 
 
 # -------------------------------------------------------------------- rules
 
-def eligible(a: Column, b: Column) -> Column:
+def eligible(a: Side, b: Side) -> Column:
     same_file = a["file"] == b["file"]
     same_place = same_file & (a["scope"] == b["scope"])
     cross_unit = F.coalesce(a["unit"] != b["unit"], F.lit(False))
@@ -186,7 +195,7 @@ def eligible(a: Column, b: Column) -> Column:
             & ~cross_unit & ~F.coalesce(seed_mirror, F.lit(False)))
 
 
-def derived(a: Column, b: Column) -> Column:
+def derived(a: Side, b: Side) -> Column:
     """One side's value or annotation names the other side as a whole word."""
 
     def names(x, y):
@@ -198,7 +207,7 @@ def derived(a: Column, b: Column) -> Column:
     return names(a, b) | names(b, a)
 
 
-def shared_reference(a: Column, b: Column) -> Column:
+def shared_reference(a: Side, b: Side) -> Column:
     """Both values mention the same tracked constant, other than themselves."""
     common = F.array_intersect(a["refs"], b["refs"])
     return F.size(F.array_except(common, F.array(a["name"], b["name"]))) > 0
@@ -213,7 +222,7 @@ def meaningful(shared: Column) -> Column:
     return F.size(F.array_except(shared, generic)) > 0
 
 
-def parallel_sibling(a: Column, b: Column) -> Column:
+def parallel_sibling(a: Side, b: Side) -> Column:
     """Names that differ by design: role families, twins, hooks, credentials, caches."""
     wa, wb = a["words"], b["words"]
     stems_a, stems_b = F.transform(wa, N.stem), F.transform(wb, N.stem)
@@ -243,7 +252,7 @@ def _verdict(score, reason: str) -> Column:
                     F.lit(reason).alias("reason"))
 
 
-def base_score(a: Column, b: Column) -> Column:
+def base_score(a: Side, b: Side) -> Column:
     """struct(score in hundredths, reason, final) before adjustments; null = no pair."""
     same_file = a["file"] == b["file"]
     same_dir = a["dir"] == b["dir"]
@@ -291,7 +300,7 @@ def base_score(a: Column, b: Column) -> Column:
 LINKS = ["alias-derived", "shared-source", "shared-env-source"]
 
 
-def adjustment(a: Column, b: Column, reason: Column) -> Column:
+def adjustment(a: Side, b: Side, reason: Column) -> Column:
     same_file = a["file"] == b["file"]
     return (F.when(F.coalesce(a["lang"] == b["lang"], a["lang"].isNull() & b["lang"].isNull()), 3).otherwise(0)
             + F.when(a["dir"] == b["dir"], 2).otherwise(0)
@@ -317,19 +326,19 @@ def score(pairs: DataFrame) -> DataFrame:
 
     The rule chain sits inside a generator: a generator is evaluated once, while
     a filter on a computed column would be pushed down and repeat the chain."""
-    a, b = F.col("a"), F.col("b")
-    df = pairs.select("project", "a", "b", F.explode(F.array_compact(F.array(base_score(a, b)))).alias("_base"))
+    a, b = Side("a"), Side("b")
+    df = pairs.select("*", F.explode(F.array_compact(F.array(base_score(a, b)))).alias("_base"))
     reason = F.col("_base.reason")
     total = F.when(reason.isin(LINKS), F.col("_base.score")).otherwise(
         F.least(F.col("_base.score") + adjustment(a, b, reason), F.lit(99)))
     kept = F.filter(F.array(F.struct(total.alias("score_int"), reason.alias("reason"))),
                     lambda s: s["score_int"] >= vocab.LEVEL_FLOOR["low"])
-    return df.select("project", "a", "b", F.inline(kept)).withColumn("level", level(F.col("score_int")))
+    return df.select(*pairs.columns, F.inline(kept)).withColumn("level", level(F.col("score_int")))
 
 
-def _side(x: Column) -> Column:
-    shown = {"id", "name", "file", "scope", "status", "lang"}
-    return F.struct(*[(x[f] if f in shown else x["show"][f]).alias(f) for f in SIDE_FIELDS])
+def _shown(x: Side) -> Column:
+    own = {"id", "name", "file", "scope", "status", "lang"}
+    return F.struct(*[x[f if f in own else f"show_{f}"].alias(f) for f in SIDE_FIELDS])
 
 
 def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: DataFrame | None = None,
@@ -344,7 +353,7 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
         feats = assign_units(feats, units)
     else:
         feats = feats.withColumn("unit", F.lit(None).cast("string"))
-    a, b = F.col("a"), F.col("b")
+    a, b = Side("a"), Side("b")
     pairs = score(blocked_pairs(feats, sizes, max_bucket)).select(
         "project", a["id"].alias("id_a"), b["id"].alias("id_b"),
         N.pair_key(a["id"], b["id"]).alias("pair_key"),
@@ -352,7 +361,7 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
         F.array_join(F.array_intersect(a["tokens"], b["tokens"]), "+").alias("family"),
         F.size(F.array_intersect(a["tokens"], b["tokens"])).alias("family_size"),
         a["norm"].alias("norm_a"), b["norm"].alias("norm_b"),
-        _side(a).alias("a"), _side(b).alias("b"))
+        _shown(a).alias("a"), _shown(b).alias("b"))
     return pairs.dropDuplicates(["project", "id_a", "id_b"])
 
 
