@@ -106,7 +106,6 @@ def declaration_literal(v: Column) -> Column:
     """Literal default of a column/field declaration, '' if it has none, null
     if v is not such a declaration."""
     inner = F.regexp_extract(v, vocab.DECLARATION, 1)
-    rest = F.regexp_extract(inner, vocab.DECLARATION_DEFAULT, 1)
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("taken"), F.lit(False).alias("done"))
 
     def step(acc, ch):
@@ -118,29 +117,47 @@ def declaration_literal(v: Column) -> Column:
             F.when(stop, acc["taken"]).otherwise(acc["taken"] + 1).alias("taken"),
             stop.alias("done"))
 
-    taken = F.aggregate(F.filter(F.split(rest, ""), lambda c: c != ""), start, step, lambda s: s["taken"])
+    def upto(rest):
+        chars = F.filter(F.split(rest, ""), lambda c: c != "")
+        return strip(F.substring(rest, F.lit(1), F.aggregate(chars, start, step, lambda s: s["taken"])))
+
     return (F.when(~v.rlike(vocab.DECLARATION), F.lit(None).cast("string"))
             .when(inner.rlike(r"(?U)\bdefault_factory\s*="), "")
             .when(~inner.rlike(vocab.DECLARATION_DEFAULT), "")
-            .otherwise(strip(F.substring(rest, F.lit(1), taken))))
+            .otherwise(let(F.regexp_extract(inner, vocab.DECLARATION_DEFAULT, 1), upto)))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once and written once into the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bare_value(preview: Column) -> Column:
+    """Lower-cased value without the separators line-based extraction leaves."""
+    return F.regexp_replace(F.lower(strip(F.coalesce(preview, F.lit("")))), r"[ ,;]+$", "")
+
+
+def _dull(v: Column) -> Column:
+    call = r"(?U)^([a-z_][\w.]*)\(\s*([a-z_][\w.]*)\s*\)$"
+    empty_container = (
+        F.substring_index(F.regexp_extract(v, call, 1), ".", -1).isin(vocab.CONTAINER_CTORS)
+        & F.substring_index(F.regexp_extract(v, call, 2), ".", -1).isin(vocab.TRIVIAL_FACTORIES))
+    return (v.isin(vocab.TRIVIAL_VALUES) | (F.length(v) < 4)
+            | v.rlike(r"(?U)^-?\d{1,6}(?:\.\d+)?$|^[a-z_][\w.]*(?:\(\))?$|[(\[{]$")
+            | empty_container)
+
+
+def nontrivial_bare(bare: Column, redacted: Column) -> Column:
+    """`nontrivial_value` on a value that went through `bare_value`."""
+    # only text that can be a declaration is unwrapped: that walks characters
+    unwrapped = let(bare, lambda v: ~_dull(declaration_literal(v)))
+    return F.when(redacted, True).when(bare.rlike(vocab.DECLARATION), unwrapped).otherwise(~_dull(bare))
 
 
 def nontrivial_value(preview: Column, redacted: Column) -> Column:
     """May this value anchor a same-value link?"""
-    base = F.regexp_replace(F.lower(strip(F.coalesce(preview, F.lit("")))), r"[ ,;]+$", "")
-    # only look into text that can be a declaration: the unwrap walks characters
-    v = F.when(base.rlike(vocab.DECLARATION), declaration_literal(base)).otherwise(base)
-    call = r"(?U)^([a-z_][\w.]*)\(\s*([a-z_][\w.]*)\s*\)$"
-    ctor = F.regexp_extract(v, call, 1)
-    arg = F.regexp_extract(v, call, 2)
-    empty_container = (F.substring_index(ctor, ".", -1).isin(vocab.CONTAINER_CTORS)
-                       & F.substring_index(arg, ".", -1).isin(vocab.TRIVIAL_FACTORIES))
-    dull = (v.isin(vocab.TRIVIAL_VALUES) | (F.length(v) < 4)
-            | v.rlike(r"(?U)^-?\d{1,6}(?:\.\d+)?$")
-            | v.rlike(r"(?U)^[a-z_][\w.]*(?:\(\))?$")
-            | empty_container
-            | v.rlike(r"[(\[{]$"))
-    return F.when(redacted, True).otherwise(~dull)
+    return let(F.struct(bare_value(preview).alias("bare"), redacted.alias("redacted")),
+               lambda s: nontrivial_bare(s["bare"], s["redacted"]))
 
 
 def idiom_rhs(v: Column) -> Column:

@@ -6,12 +6,15 @@ larger blocks are stop tokens and link nothing.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab
+from ..staging import stage
 
 # an oversized block outside the largest HOT_BLOCKS holds under 1/HOT_BLOCKS of
 # all block rows, which is no more than one task's fair share
@@ -30,12 +33,20 @@ def live_rows(registry: DataFrame) -> DataFrame:
 
 def linkable(registry: DataFrame) -> DataFrame:
     """Rows that can take part: present in their file, no member target, no dunder."""
-    name = F.col("name")
-    return live_rows(registry).filter(~name.contains(".") & ~N.is_dunder(name))
+    return live_rows(registry).filter(_linkable_name(F.col("name")))
+
+
+def _linkable_name(name: Column) -> Column:
+    return ~name.contains(".") & ~N.is_dunder(name)
 
 
 def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
-    """Everything the pair rules need of a row, computed once per row."""
+    """Everything the pair rules need of a linkable row, computed once per row."""
+    return live_features(registry, settings).filter("linkable").drop("linkable")
+
+
+def live_features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
+    """Features of all live rows; names outside `linkable` still count as known."""
     cfg = {**vocab.DEFAULT_SETTINGS, **(settings or {})}
     name, value, file = F.col("name"), F.col("value_preview"), F.col("file")
     destructured = F.coalesce(F.col("kind"), F.lit("")).endswith("-destructure")
@@ -43,14 +54,16 @@ def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
     visible = F.when(~F.col("redacted"), F.coalesce(value, F.lit(""))).otherwise("")
     # whole words of the text that are not the member part of a dotted chain
     words = r"(?U)(?<![\w.])\w+"
-    ignored = _norm_all(vocab.IGNORED_NAMES + list(cfg["dup_ignore_names"] or []))
-    convention = _norm_all(list(cfg["dup_ignore_crossfile_names"] or []))
-    df = linkable(registry).withColumn("norm", norm)
-    df = df.withColumn("tokens", N.name_tokens(name))
-    df = df.withColumn("anchor", X.nontrivial_value(value, F.col("redacted")) & ~destructured)
+    ignored = _norms(vocab.IGNORED_NAMES + list(cfg["dup_ignore_names"] or []))
+    convention = _norms(list(cfg["dup_ignore_crossfile_names"] or []))
+    df = live_rows(registry).withColumns({
+        "linkable": _linkable_name(name), "norm": norm, "tokens": N.name_tokens(name), "_bare": X.bare_value(value), "_visible": visible})
+    df = df.withColumn("anchor", X.nontrivial_bare(F.col("_bare"), F.col("redacted")) & ~destructured)
+    visible = F.col("_visible")
+    df = df.withColumn("link_text", F.concat_ws(" \n ", visible, F.coalesce("anno", F.lit(""))))
     return df.select(
         "project", N.row_id(file, F.col("scope"), name).alias("id"),
-        "file", "scope", "name", "lang", "status", "value_hash",
+        "linkable", "file", "scope", "name", "lang", "status", "value_hash",
         F.coalesce("line", F.lit(0)).alias("line"),
         N.dir_of(file).alias("dir"), "norm", "tokens",
         N.ordered_tokens(name).alias("words"),
@@ -59,12 +72,9 @@ def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
         X.env_read(value).alias("env_read"), X.idiom_rhs(value).alias("idiom"),
         N.is_test_path(file).alias("test"),
         ((F.col("lang") == "env") & N.is_env_template(file)).alias("env_template"),
-        F.array_contains(ignored, norm).alias("ignored"),
-        F.array_contains(convention, norm).alias("convention"),
-        F.concat_ws(" \n ", visible, F.coalesce("anno", F.lit(""))).alias("link_text"),
-        F.array_distinct(F.regexp_extract_all(
-            F.concat_ws(" \n ", visible, F.coalesce("anno", F.lit(""))), F.lit(words), F.lit(0))
-        ).alias("link_words"),
+        F.col("norm").isin(ignored).alias("ignored"), F.col("norm").isin(convention).alias("convention"),
+        "link_text",
+        F.array_distinct(F.regexp_extract_all(F.col("link_text"), F.lit(words), F.lit(0))).alias("link_words"),
         F.filter(F.array_distinct(F.regexp_extract_all(
             visible, F.lit(r"(?U)[A-Za-z_$][\w$]*"), F.lit(0))), N.constant_like).alias("mentions"),
         # display columns of the sides
@@ -74,13 +84,14 @@ def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
         F.col("repo_value_preview").alias("show_repo_value"), F.col("redacted").alias("show_redacted"))
 
 
-def _norm_all(words: list[str]) -> Column:
-    return F.transform(F.array(*[F.lit(w) for w in words]).cast("array<string>"), N.norm_name)
+def _norms(words: list[str]) -> list[str]:
+    """Normalised spelling of configured names (driver side: a short list)."""
+    return sorted({re.sub("[^a-z0-9]", "", str(w).lower()) for w in words})
 
 
-def with_references(feats: DataFrame, registry: DataFrame) -> DataFrame:
-    """Replace `mentions` by those that are names tracked in the project."""
-    known = live_rows(registry).select("project", "name").distinct()
+def with_references(feats: DataFrame, live: DataFrame) -> DataFrame:
+    """Replace `mentions` by those that are live names of the project."""
+    known = live.select("project", "name").distinct()
     refs = (feats.select("project", "id", F.explode("mentions").alias("name"))
             .join(known, ["project", "name"], "left_semi")
             .groupBy("project", "id").agg(F.array_sort(F.collect_set("name")).alias("refs")))
@@ -252,48 +263,60 @@ def _verdict(score, reason: str) -> Column:
                     F.lit(reason).alias("reason"))
 
 
-def base_score(a: Side, b: Side) -> Column:
-    """struct(score in hundredths, reason, final) before adjustments; null = no pair."""
+def pair_facts(a: Side, b: Side) -> dict[str, Column]:
+    """What several rules ask of a pair, as columns of their own."""
+    norm_equal = a["norm"] == b["norm"]
+    fold_case = (a["lang"] == "powershell") & (b["lang"] == "powershell")
     same_file = a["file"] == b["file"]
-    same_dir = a["dir"] == b["dir"]
-    same_scope = same_file & (a["scope"] == b["scope"])
-    equal_hash = a["value_hash"].eqNullSafe(b["value_hash"])
+    return {
+        "same_file": same_file,
+        "same_dir": a["dir"] == b["dir"],
+        "equal_hash": a["value_hash"].eqNullSafe(b["value_hash"]),
+        "same_name": (a["name"] == b["name"]) | (F.coalesce(fold_case, F.lit(False)) & norm_equal),
+        "norm_equal": norm_equal,
+        "shared": F.array_intersect(a["tokens"], b["tokens"]),
+        "n_union": F.size(F.array_union(a["tokens"], b["tokens"])),
+        "excluded": (a["ignored"] & b["ignored"]) | (~same_file & a["convention"] & b["convention"]) | (
+            same_file & (a["scope"] == b["scope"]) & N.numeric_sibling(a["name"], b["name"])),
+    }
+
+
+def base_score(a: Side, b: Side) -> Column:
+    """struct(score in hundredths, reason) before adjustments; null = no pair.
+
+    Reads the `pair_facts` columns."""
+    same_file, same_dir, equal_hash = F.col("same_file"), F.col("same_dir"), F.col("equal_hash")
     same_hash = equal_hash & a["same_value_ok"] & b["same_value_ok"]
-    norm_equal = a["norm"] == b["norm"]
-    fold_case = F.coalesce((a["lang"] == "powershell") & (b["lang"] == "powershell"), F.lit(False))
-    same_name = (a["name"] == b["name"]) | (fold_case & norm_equal)
     damp = F.when(a["ignored"] | b["ignored"], 35).otherwise(0)
     none = F.lit(None).cast("struct<score:int,reason:string>")
 
     spelled = (F.when(a["role"] == b["role"], _verdict(F.lit(90) - damp, "name-variant"))
                .when(same_file, none).otherwise(_verdict(F.lit(60) - damp, "case-variant")))
-    copied = F.when(a["idiom"], 55).otherwise(85)
+    # equal values are equal idioms; asking both sides keeps the two inputs of the
+    # self-join alike, so Spark shuffles them once
+    copied = F.when(a["idiom"] & b["idiom"], 55).otherwise(85)
     distance = F.when(same_file, 65).when(same_dir, 78).otherwise(60)
-    named = (F.when(~same_name, spelled)
+    named = (F.when(~F.col("same_name"), spelled)
              .when(same_hash, _verdict(copied - damp, "same-name-same-value"))
              .when(equal_hash, _verdict(F.lit(40) - damp, "same-name"))
              .otherwise(_verdict(distance - damp, "value-mismatch")))
 
-    ta, tb = a["tokens"], b["tokens"]
-    shared = F.array_intersect(ta, tb)
-    na, nb, both = F.size(ta), F.size(tb), F.size(shared)
-    half = both * 2 >= F.size(F.array_union(ta, tb))
+    shared = F.col("shared")
+    na, nb, both = F.size(a["tokens"]), F.size(b["tokens"]), F.size(shared)
     worded = (F.when((na == 0) | (nb == 0), none)
               .when(same_hash & (both > 0), _verdict(80, "same-value-related-name"))
               .when(same_hash, _verdict(60, "same-value"))
               .when(~meaningful(shared), none)
-              .when(half & (F.least(na, nb) >= 2), _verdict(55, "token-overlap"))
-              .when(F.exists(shared, lambda t: F.length(t) >= 4) & (F.greatest(na, nb) <= 3),
+              .when((both * 2 >= F.col("n_union")) & (na >= 2) & (nb >= 2), _verdict(55, "token-overlap"))
+              .when(F.exists(shared, lambda t: F.length(t) >= 4) & (na <= 3) & (nb <= 3),
                     _verdict(40, "shared-token"))
               .otherwise(none))
 
-    return (F.when(a["ignored"] & b["ignored"], none)
-            .when(~same_file & a["convention"] & b["convention"], none)
-            .when(same_scope & N.numeric_sibling(a["name"], b["name"]), none)
+    return (F.when(F.col("excluded"), none)
             .when(derived(a, b), _verdict(36, "alias-derived"))
             .when(shared_reference(a, b), _verdict(36, "shared-source"))
-            .when(same_hash & a["env_read"], _verdict(36, "shared-env-source"))
-            .when(same_name | norm_equal, named)
+            .when(same_hash & a["env_read"] & b["env_read"], _verdict(36, "shared-env-source"))
+            .when(F.col("same_name") | F.col("norm_equal"), named)
             .otherwise(worded))
 
 
@@ -301,9 +324,9 @@ LINKS = ["alias-derived", "shared-source", "shared-env-source"]
 
 
 def adjustment(a: Side, b: Side, reason: Column) -> Column:
-    same_file = a["file"] == b["file"]
+    same_file = F.col("same_file")
     return (F.when(F.coalesce(a["lang"] == b["lang"], a["lang"].isNull() & b["lang"].isNull()), 3).otherwise(0)
-            + F.when(a["dir"] == b["dir"], 2).otherwise(0)
+            + F.when(F.col("same_dir"), 2).otherwise(0)
             - F.when(same_file & N.underscore_variant(a["name"], b["name"]), 30).otherwise(0)
             - F.when(a["test"] & b["test"], 25).when(a["test"] | b["test"], 30).otherwise(0)
             - F.when(reason.isin(FAMILY_REASONS) & same_file, F.when(parallel_sibling(a, b), 20).otherwise(0))
@@ -327,13 +350,14 @@ def score(pairs: DataFrame) -> DataFrame:
     The rule chain sits inside a generator: a generator is evaluated once, while
     a filter on a computed column would be pushed down and repeat the chain."""
     a, b = Side("a"), Side("b")
-    df = pairs.select("*", F.explode(F.array_compact(F.array(base_score(a, b)))).alias("_base"))
+    df = pairs.withColumns(pair_facts(a, b))
+    df = df.select("*", F.explode(F.array_compact(F.array(base_score(a, b)))).alias("_base"))
     reason = F.col("_base.reason")
     total = F.when(reason.isin(LINKS), F.col("_base.score")).otherwise(
         F.least(F.col("_base.score") + adjustment(a, b, reason), F.lit(99)))
     kept = F.filter(F.array(F.struct(total.alias("score_int"), reason.alias("reason"))),
                     lambda s: s["score_int"] >= vocab.LEVEL_FLOOR["low"])
-    return df.select(*pairs.columns, F.inline(kept)).withColumn("level", level(F.col("score_int")))
+    return df.select(*pairs.columns, "shared", F.inline(kept)).withColumn("level", level(F.col("score_int")))
 
 
 def _shown(x: Side) -> Column:
@@ -346,9 +370,11 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
     """All scored pairs of every project, before verdicts.
 
     units: optional (project, pattern) rows of standalone-unit patterns."""
-    base = features(registry, settings)
+    # four steps below read the features: they are computed once and staged
+    live = stage(live_features(registry, settings), "features")
+    base = live.filter("linkable").drop("linkable")
     sizes = block_sizes(block_keys(base))
-    feats = with_references(base, registry)
+    feats = with_references(base, live)
     if units is not None:
         feats = assign_units(feats, units)
     else:
@@ -358,8 +384,7 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
         "project", a["id"].alias("id_a"), b["id"].alias("id_b"),
         N.pair_key(a["id"], b["id"]).alias("pair_key"),
         "score_int", "level", "reason",
-        F.array_join(F.array_intersect(a["tokens"], b["tokens"]), "+").alias("family"),
-        F.size(F.array_intersect(a["tokens"], b["tokens"])).alias("family_size"),
+        F.array_join("shared", "+").alias("family"), F.size("shared").alias("family_size"),
         a["norm"].alias("norm_a"), b["norm"].alias("norm_b"),
         _shown(a).alias("a"), _shown(b).alias("b"))
     return pairs.dropDuplicates(["project", "id_a", "id_b"])
@@ -430,7 +455,6 @@ def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
             "struct<verdict:string,note:string,ts:timestamp,learned:boolean>"))
     if not cfg["learn_from_reviews"]:
         return apply_learned(join_reviews(pairs, reviews), None, include_dismissed)
-    from ..staging import stage
     reviewed = stage(join_reviews(pairs, reviews), "reviewed-pairs")
     return apply_learned(reviewed, learn(reviewed), include_dismissed)
 
