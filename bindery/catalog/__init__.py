@@ -1,4 +1,4 @@
 """Registered queries: name -> (Spark callable, SQL twin or None)."""
-from . import pairs
+from . import keyed, pairs
 
-CATALOG = {**pairs.QUERIES}
+CATALOG = {**keyed.QUERIES, **pairs.QUERIES}

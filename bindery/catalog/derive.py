@@ -108,7 +108,7 @@ assignments AS (
     CASE p_partkey % 11 WHEN 0 THEN 'drifted' WHEN 1 THEN 'missing' WHEN 2 THEN 'file_deleted'
       ELSE 'active' END AS status,
     's' || (p_partkey % 31)::varchar AS first_session, 's' || (p_partkey % 37)::varchar AS last_session,
-    timestamp '2024-01-01 00:00:00' + to_minutes(p_partkey) AS at,
+    timestamp '2024-01-01 00:00:00' + to_minutes(p_partkey) AS seen,
     CASE p_partkey % 3 WHEN 0 THEN 'scan' WHEN 1 THEN 'claude' ELSE 'kilo' END AS origin
   FROM part),
 registry AS (

@@ -126,7 +126,7 @@ def normalize_pair_key(key: Column) -> Column:
     parts = F.split(slashed, r"\|")
 
     def side(start):
-        return F.array_join(F.transform(F.slice(parts, start, 3), F.trim), "|")
+        return F.array_join(F.transform(F.slice(parts, start, 3), lambda p: F.trim(p)), "|")
 
     canonical = F.array_join(F.array_sort(F.array(side(1), side(5))), "||")
     return F.when((F.size(parts) == 7) & (F.get(parts, F.lit(3)) == ""), canonical).otherwise(
