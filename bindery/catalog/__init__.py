@@ -1,4 +1,4 @@
 """Registered queries: name -> (Spark callable, SQL twin or None)."""
-from . import keyed, pairs
+from . import corpora, keyed, pairs, scalars
 
-CATALOG = {**keyed.QUERIES, **pairs.QUERIES}
+CATALOG = {**corpora.QUERIES, **scalars.QUERIES, **keyed.QUERIES, **pairs.QUERIES}
