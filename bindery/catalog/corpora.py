@@ -15,6 +15,7 @@ from ..sources import corpus as C
 from ..staging import stage_dir
 from ..streaming import capture as J
 from . import derive as D
+from .pairs import ELIGIBLE, FEATURES, SCORED
 
 REG = f"WITH {D.ASSIGNMENTS}"
 
@@ -39,7 +40,7 @@ class C{n}:
       ("first", 10, "C{n}.run", "assign", "f(\n            {n})", None), ("rest", 10, "C{n}.run", "assign", "f(\n            {n})", None)]),
     "b2_b12_extract_typescript": ("src/p{n}.tsx", """// const no = 1;
 export const {A}_URL = "https://x/{n}", {b}Count: number = {n};
-const { {a}, port: {b}Port, opts = { x: 1 }, ...tail } = load({n});
+const { {a}, port: {b}Port, opts = {}, ...tail } = load({n});
 const [one, , two] = pair;
 let later;
 export async function run{n}(x) {
@@ -182,9 +183,10 @@ def _expected(path, rows) -> str:
 
 
 def extract_texts(spark, sf):
-    """Every document read as an env file, whole."""
+    """Every document read as an env file, whole; inline keys start a line."""
     d = D.table(spark, sf, "documents").select(
-        F.col("source").alias("project"), F.format_string("d%d.env", "doc_id").alias("path"), F.col("text").alias("content"))
+        F.col("source").alias("project"), F.format_string("d%d.env", "doc_id").alias("path"),
+        F.replace("text", F.lit(" token ="), F.lit("\n export token =")).alias("content"))
     return extract_assignments(d).select("file", "line", "name", "value")
 
 
@@ -258,7 +260,7 @@ def corpus_scan(spark, sf):
     (a.select("project", line.alias("line")).write.partitionBy("project").option("extension", "env").option("quote", "")
      .option("maxRecordsPerFile", 10000).csv(root))
     rows = extract_assignments(C.corpus_scan(spark, [root]))
-    brand = F.url_decode(F.regexp_extract("file", "project=([^/]*)/", 1))
+    brand = F.replace(F.regexp_extract("file", "project=([^/]*)/", 1), F.lit("%23"), F.lit("#"))
     return rows.select(brand.alias("brand"), "name", "value", "lang")
 
 
@@ -380,10 +382,19 @@ seen AS (SELECT c.project, c.file, c.name, max((h.ts, h.event_id)) AS seen_at, a
   FROM claims c JOIN held h ON (c.project, c.file, c.name) = (h.project, h.file, h.name) AND (h.ts, h.event_id) >= c.first_at GROUP BY ALL)
 """
 
+ANALYZED = f"""WITH {PARTS}, registry AS (
+  SELECT *, file || '|' || scope || '|' || name AS id, sha1(value) AS value_hash FROM (
+    SELECT replace(project, '#', '-') AS project, 'ops/.env.p' || n AS file, '' AS scope,
+      unnest([upper(a) || '_HOST', 'PORT.' || b, 'EMPTY']) AS name, unnest([b || '-' || n, n || ' # kept', '']) AS value,
+      unnest([2, 3, 4]) AS line, 'env' AS lang, 'env' AS kind, NULL::varchar AS anno, 'active' AS status FROM parts)),
+{FEATURES}, {ELIGIBLE}, {SCORED}
+SELECT project, level, count(*) AS pairs FROM scored GROUP BY ALL
+UNION ALL SELECT project, lang, count(*) FROM registry GROUP BY ALL"""
+
 QUERIES = {
     **{name: (_extraction(path, content), _expected(path, rows)) for name, (path, content, rows) in SOURCES.items()},
     "b5_extract_texts": (extract_texts, """WITH l AS (SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1)::int AS n FROM (
-          SELECT doc_id, string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS s FROM documents)),
+          SELECT doc_id, string_split_regex(replace(text, ' token =', chr(10) || ' export token ='), '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS s FROM documents)),
         m AS (SELECT *, trim(line) AS t FROM l)
         SELECT 'd' || doc_id::varchar || '.env' AS file, n AS line, regexp_extract(t, '^(?:export\\s+)?([A-Za-z_][\\pL\\pM\\p{Nd}\\p{Pc}.]*)\\s*=\\s*(.*)$', 1) AS name,
           nullif(trim(regexp_extract(t, '^(?:export\\s+)?([A-Za-z_][\\pL\\pM\\p{Nd}\\p{Pc}.]*)\\s*=\\s*(.*)$', 2)), '') AS value
@@ -397,7 +408,7 @@ QUERIES = {
     "a2_exclude_dirs": (exclude_dirs, f"{REG}, {PATHS} SELECT project, seq, path FROM paths WHERE seq % 9 NOT IN (0, 1)"),
     "a3_ignore_prune": (ignore_prune, f"{REG}, {PATHS} SELECT project, seq FROM paths WHERE NOT (project LIKE '%1' AND seq % 9 IN (2, 4))"),
     "a5_size_filter": (size_filter, "SELECT doc_id, strlen(text)::int AS length FROM documents WHERE strlen(text) <= 8192"),
-    "a14_analyze": (analyze, None),
+    "a14_analyze": (analyze, ANALYZED),
     "a15_path_safety": (path_safety, f"""{REG}, {PATHS}, q AS (SELECT seq, CASE seq % 5 WHEN 0 THEN '\\x\\' || path WHEN 1 THEN 'a/../' || path WHEN 2 THEN '/' ELSE path END AS path FROM paths)
         SELECT seq, CASE WHEN seq % 13 IN (0, 1) THEN path WHEN seq % 5 = 0 THEN 'x/' || replace(path[4:], '\\', '/') ELSE path END AS path,
           CASE WHEN seq % 13 IN (0, 1) THEN 'invalid project id' WHEN seq % 5 IN (1, 2) THEN 'unsafe path' END AS reason FROM q"""),
@@ -420,6 +431,14 @@ QUERIES = {
     "j1_capture_stream": (capture_stream, CAPTURED + """ SELECT project, file, name, CASE WHEN seen_at < last_at THEN 'missing'
           WHEN now_value = value THEN 'active' ELSE 'drifted' END AS status, first_session, last_session, value AS value_preview,
           now_value AS repo_value_preview FROM claims JOIN seen USING (project, file, name) JOIN last_event USING (project, file)"""),
-    "j2_event_log_stream": (capture_events, None),
+    "j2_event_log_stream": (capture_events, CAPTURED + """,
+        step AS (SELECT c.project, c.file, c.name, o.ts, o.event_id, h.name IS NOT NULL AS present FROM claims c
+          JOIN ok o ON (o.project, o.path) = (c.project, c.file) AND (o.ts, o.event_id) >= c.first_at
+          LEFT JOIN held h ON (h.project, h.file, h.name, h.event_id) = (c.project, c.file, c.name, o.event_id)),
+        gone AS (SELECT *, NOT present AND lag(present) OVER (PARTITION BY project, file, name ORDER BY ts, event_id) AS went FROM step)
+        SELECT project, 'added' AS action, count(*) AS events FROM claims GROUP BY ALL
+        UNION ALL SELECT project, 'updated', n FROM (SELECT h.project, count(*) - (SELECT count(*) FROM claims c WHERE c.project = h.project) AS n
+          FROM held h WHERE claimed GROUP BY h.project) WHERE n > 0
+        UNION ALL SELECT project, 'went_missing', count(*) FROM gone WHERE went GROUP BY ALL"""),
     "j5_registry_tail": (tail, f"{REG} SELECT project, status, count(*) AS count FROM registry GROUP BY ALL"),
 }
