@@ -274,8 +274,8 @@ def analyze(spark, sf):
 def session_start(spark, sf):
     """Registry of env files against a corpus where some files changed."""
     n = F.col("p_partkey")
-    p = D.table(spark, sf, "part").select(F.col("p_brand").alias("project"), F.format_string("ops/%d.env", n % 400).alias("path"),
-                                          F.concat(F.lit("V=1\nW="), (n % 400).cast("string")).alias("content"), (n % 400).alias("k")).distinct()
+    p = D.table(spark, sf, "part").select(F.col("p_brand").alias("project"), F.format_string("ops/%d.env", n).alias("path"),
+                                          F.concat(F.lit("V=1\nW="), n.cast("string")).alias("content"), n.alias("k"))
     registry = A.baseline(p, "2024-01-01")
     later = p.filter("k % 7 <> 0").withColumn("content", F.when(F.col("k") % 3 == 0, "V=2\n").otherwise(F.col("content"))).withColumn(
         "modificationTime", F.when(F.col("k") % 2 == 0, F.lit("2024-02-01").cast("timestamp")).otherwise(F.lit("2023-01-01").cast("timestamp")))
@@ -283,7 +283,7 @@ def session_start(spark, sf):
     return out.select("project", "file", "name", "status", "repo_value_preview")
 
 
-SESSION_START = """WITH p AS (SELECT DISTINCT p_brand AS project, p_partkey % 400 AS k FROM part),
+SESSION_START = """WITH p AS (SELECT p_brand AS project, p_partkey AS k FROM part),
 f AS (SELECT *, 'ops/' || k::varchar || '.env' AS file FROM p),
 o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file) <= 10 AS checked FROM f),
 r AS (SELECT *, unnest(['V', 'W']) AS name, unnest(['1', k::varchar]) AS value FROM o)

@@ -60,7 +60,7 @@ LINEITEM = """
 w AS (SELECT 'o' || (l_orderkey % 16)::varchar AS project, l_orderkey::varchar AS file, l_linenumber::varchar AS name,
   round(l_extendedprice)::bigint::varchar || '/' || l_partkey::varchar AS value, l_suppkey::varchar AS session,
   CASE WHEN l_returnflag = 'N' THEN 'scan' ELSE 'claude' END AS origin, l_shipdate AS ts,
-  (l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS seen, l_shipdate < '1998-01-01' AS early FROM lineitem),
+  {'ts': l_shipdate, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'q': l_quantity, 'p': l_extendedprice} AS seen, l_shipdate < '1998-01-01' AS early FROM lineitem),
 folded AS (
   SELECT project, file, name, early, arg_max(value, seen) AS value, arg_min(session, seen) AS first_session,
     arg_max(session, seen) AS session, min(ts) AS first_ts, max(ts) AS ts, arg_min(origin, seen) AS created,
@@ -158,6 +158,31 @@ result AS (
 RES = f"{SNAP}, {RECONCILED}"
 
 
+def _line_snapshots(spark, sf):
+    """Newest line item per key against a later state of the same orders."""
+    w = _lineitem_writes(spark, sf).withColumn("ord", F.struct("ts", "seq"))
+    rows = last_occurrence(w)
+    base = rows.select(
+        *KEY, "lang", "kind", "line", "value_preview", "value_hash", "redacted", "anno",
+        F.col("value_preview").alias("repo_value_preview"), F.col("value_hash").alias("repo_value_hash"),
+        F.col("line").alias("repo_line"), F.lit("active").alias("status"), F.col("session").alias("first_session"),
+        F.col("session").alias("last_session"), F.col("ts").cast("timestamp").alias("first_seen_at"),
+        F.col("ts").cast("timestamp").alias("last_written_at"), F.col("ts").cast("timestamp").alias("last_verified_at"),
+        "origin", F.lit(None).cast("string").alias("note"))
+    order = F.col("file").cast("bigint")
+    now = rows.filter((order % 29 != 0) & (F.col("seq.l_partkey") % 17 != 0))
+    value = F.when(F.col("seq.l_suppkey") % 19 == 0, "changed").otherwise(F.col("value_preview"))
+    found = now.select("project", "file", F.when(F.col("line") == 7, "moved").otherwise(F.col("scope")).alias("scope"), "name",
+                       "line", value.alias("value_preview"), F.sha1(value).alias("value_hash"), "ord")
+    files = rows.filter(order % 29 != 0).select("project", "file").distinct()
+    return base, found, files
+
+
+def reconcile_lineitem(spark, sf):
+    out = R.reconcile(*_line_snapshots(spark, sf), NOW)
+    return out.select("project", "file", "scope", "name", "status", "moved", "repo_value_preview")
+
+
 def changed_files(spark, sf):
     r = D.registry(spark, sf)
     minute = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0, cast(m as int))")
@@ -243,14 +268,14 @@ def debounce(spark, sf):
 # ----------------------------------------------------------- reviews, settings
 
 def _ledgers(spark, sf):
-    """One JSON map of verdicts per project, with untidy pair keys."""
-    a = D.assignments(spark, sf).filter("seq % 9 = 0")
-    key = F.concat(F.replace("file", F.lit("/"), F.lit("\\")), F.lit("| |"), F.col("name"), F.lit("||a.py||"),
-                   F.col("seq").cast("string"))
-    one = F.struct(key.alias("k"), F.struct(F.when(F.col("seq") % 2 == 0, "duplicate").otherwise("not_duplicate").alias("verdict"),
-                                            F.lit("n").alias("note"), F.col("at").alias("ts")).alias("v"))
-    return a.withColumn("shard", F.col("seq") % 64).groupBy("project", "shard").agg(
-        F.to_json(F.map_from_entries(F.collect_list(one))).alias("ledger"))
+    """One JSON map of two verdicts per assignment, with untidy pair keys."""
+    def key(other):
+        return F.concat(F.replace("file", F.lit("/"), F.lit("\\")), F.lit("| |"), F.col("name"), F.lit(f"||{other}.py||"),
+                        F.col("seq").cast("string"))
+    verdict = F.struct(F.when(F.col("seq") % 2 == 0, "duplicate").otherwise("not_duplicate").alias("verdict"),
+                       F.lit("n").alias("note"), F.col("at").alias("ts"))
+    return D.assignments(spark, sf).select("project", F.to_json(
+        F.create_map(key("a"), verdict, key("z"), verdict)).alias("ledger"))
 
 
 def reviews_read(spark, sf):
@@ -265,8 +290,8 @@ def review_upsert(spark, sf):
 
 
 LEDGER = """
-ledger AS (SELECT project, file || '||' || name AS a, 'a.py||' || seq::varchar AS b, seen AS ts,
-  CASE WHEN seq % 2 = 0 THEN 'duplicate' ELSE 'not_duplicate' END AS verdict FROM assignments WHERE seq % 9 = 0),
+ledger AS (SELECT project, file || '||' || name AS a, unnest(['a.py||', 'z.py||']) || seq::varchar AS b, seen AS ts,
+  CASE WHEN seq % 2 = 0 THEN 'duplicate' ELSE 'not_duplicate' END AS verdict FROM assignments),
 review_rows AS (SELECT project, least(a, b) || '||' || greatest(a, b) AS pair_key, verdict, ts FROM ledger)
 """
 
@@ -282,8 +307,8 @@ def settings(spark, sf):
 
 def ignored_names(spark, sf):
     a = D.assignments(spark, sf)
-    return T.add_ignored_names(a.filter("seq % 3 = 0").select("project", "name"),
-                               a.filter("seq % 5 = 0").select("project", F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("name")))
+    return T.add_ignored_names(a.filter("origin = 'scan'").select("project", "name"),
+                               a.filter("lang = 'python'").select("project", F.concat(F.lit(" "), F.col("name"), F.lit(" ")).alias("name")))
 
 
 def export_md(spark, sf):
@@ -393,6 +418,12 @@ QUERIES = {
         WHERE origin <> 'scan' OR (project, file, scope, name) IN (SELECT (project, file, scope, name) FROM found_last)"""),
     "e8_e10_reconcile": (reconcile, f"""{RES} SELECT project, file, scope, name, status, old_status, old_scope, moved, outcome,
         repo_value_preview FROM result"""),
+    "e8_reconcile_lineitem": (reconcile_lineitem, f"""WITH {LINEITEM}, rows AS (SELECT *, seen.l_partkey AS pk, seen.l_suppkey AS sk FROM w
+          QUALIFY row_number() OVER (PARTITION BY project, file, name ORDER BY seen DESC) = 1)
+        SELECT project, file, CASE WHEN here AND kept AND name = '7' THEN 'moved' ELSE '' END AS scope, name,
+          CASE WHEN NOT here THEN 'file_deleted' WHEN NOT kept THEN 'missing' WHEN sk % 19 = 0 THEN 'drifted' ELSE 'active' END AS status,
+          here AND kept AND name = '7' AS moved, CASE WHEN here AND kept AND sk % 19 = 0 THEN 'changed' ELSE value END AS repo_value_preview
+        FROM (SELECT *, file::bigint % 29 <> 0 AS here, pk % 17 <> 0 AS kept FROM rows)"""),
     "e14_reconcile_totals": (reconcile_totals, f"""{RES} SELECT project, count(DISTINCT file) AS files,
         count(*) FILTER (WHERE outcome <> 'file_deleted') AS checked, count(*) FILTER (WHERE outcome = 'active') AS active,
         count(*) FILTER (WHERE outcome = 'drifted') AS drifted, count(*) FILTER (WHERE outcome = 'missing') AS missing,
@@ -437,7 +468,7 @@ QUERIES = {
         o AS (SELECT 'c' || c_nationkey::varchar AS project, max(c_custkey)::varchar AS v FROM customer WHERE c_custkey % 10 = 0 GROUP BY ALL)
         SELECT project, 'preview_len' AS key, coalesce(v, '120') AS value FROM p LEFT JOIN o USING (project)
         UNION ALL SELECT project, 'max_file_kb', '1024' FROM p"""),
-    "a11_ignored_names": (ignored_names, f"{REG} SELECT DISTINCT project, name FROM assignments WHERE seq % 3 = 0 OR seq % 5 = 0"),
+    "a11_ignored_names": (ignored_names, f"{REG} SELECT DISTINCT project, name FROM assignments WHERE origin = 'scan' OR lang = 'python'"),
     "a13_export_md": (export_md, f"""{REG} SELECT '| `' || name || '` | ' || scope || ' | `' || value || '` | ' || status || ' | '
         || file || ':' || line::varchar || ' | ' || last_session[:8] || ' |' AS value FROM registry"""),
     "a13_export_json": (export_json, f"{REG} SELECT project, file, scope, name, value_hash, line::varchar AS repo_line FROM registry"),

@@ -79,7 +79,7 @@ def lang_of_path(path: Column) -> Column:
     """Language from the base name; null when the extension is unsupported."""
     base = F.lower(base_name(path))
     ext = F.regexp_extract(base, r"(\.[^.]*)$", 1)
-    table = F.create_map(*[F.lit(x) for kv in vocab.LANG_BY_EXT.items() for x in kv])
+    table = F.expr("map(%s)" % ", ".join(f"'{x}'" for kv in vocab.LANG_BY_EXT.items() for x in kv))
     return F.when((base == ".env") | base.startswith(".env."), "env").otherwise(
         F.try_element_at(table, ext))
 

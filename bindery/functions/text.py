@@ -12,6 +12,16 @@ STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1c-\x1e\x85\u2028\u2029]"
 
 
+def words(values) -> Column:
+    """Constant string array, parsed by Spark in one call."""
+    quoted = ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"array({quoted})").cast("array<string>")
+
+
+def one_of(v: Column, values) -> Column:
+    return F.array_contains(words(values), v)
+
+
 def flat(v: Column) -> Column:
     """Every run of white space becomes one blank; ends are trimmed."""
     return F.trim(F.regexp_replace(v, WS, " "))
@@ -140,9 +150,9 @@ def bare_value(preview: Column) -> Column:
 def _dull(v: Column) -> Column:
     call = r"(?U)^([a-z_][\w.]*)\(\s*([a-z_][\w.]*)\s*\)$"
     empty_container = (
-        F.substring_index(F.regexp_extract(v, call, 1), ".", -1).isin(vocab.CONTAINER_CTORS)
-        & F.substring_index(F.regexp_extract(v, call, 2), ".", -1).isin(vocab.TRIVIAL_FACTORIES))
-    return (v.isin(vocab.TRIVIAL_VALUES) | (F.length(v) < 4)
+        one_of(F.substring_index(F.regexp_extract(v, call, 1), ".", -1), vocab.CONTAINER_CTORS)
+        & one_of(F.substring_index(F.regexp_extract(v, call, 2), ".", -1), vocab.TRIVIAL_FACTORIES))
+    return (one_of(v, vocab.TRIVIAL_VALUES) | (F.length(v) < 4)
             | v.rlike(r"(?U)^-?\d{1,6}(?:\.\d+)?$|^[a-z_][\w.]*(?:\(\))?$|[(\[{]$")
             | empty_container)
 

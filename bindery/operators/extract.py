@@ -180,7 +180,7 @@ def _line_rows(lang: Column, raw: Column, code: Column) -> Column:
         X.strip(F.regexp_extract(code, JAVA_ASSIGN, 2))))
     js_name = _group(code, JS_REASSIGN)
     js_value = X.strip(F.regexp_extract(code, JS_REASSIGN, 2))
-    js = F.when(js_name.isNotNull() & ~F.substring_index(js_name, ".", 1).isin(JS_KEYWORDS)
+    js = F.when(js_name.isNotNull() & ~X.one_of(F.substring_index(js_name, ".", 1), JS_KEYWORDS)
                 & ~js_value.startswith("="), one(js_name, F.lit("reassign"), js_value))
     return (F.when(lang == "env", env)
             .when(lang == "powershell", ps).when(lang == "shell", sh)

@@ -72,7 +72,7 @@ def live_features(registry: DataFrame, settings: dict | None = None) -> DataFram
         X.env_read(value).alias("env_read"), X.idiom_rhs(value).alias("idiom"),
         N.is_test_path(file).alias("test"),
         ((F.col("lang") == "env") & N.is_env_template(file)).alias("env_template"),
-        F.col("norm").isin(ignored).alias("ignored"), F.col("norm").isin(convention).alias("convention"),
+        X.one_of(F.col("norm"), ignored).alias("ignored"), X.one_of(F.col("norm"), convention).alias("convention"),
         "link_text",
         F.array_distinct(F.regexp_extract_all(F.col("link_text"), F.lit(words), F.lit(0))).alias("link_words"),
         F.filter(F.array_distinct(F.regexp_extract_all(
@@ -115,7 +115,7 @@ def auto_unit_patterns(paths: DataFrame, exclude_dirs: list[str] | None = None)
     open_dirs = F.forall(dirs, lambda d: ~d.startswith(".") & ~d.isin(list(exclude)))
     shipped = paths.filter(
         F.size(dirs).between(1, 4) & open_dirs
-        & F.lower(F.element_at(segs, -1)).isin(vocab.UNIT_MANIFESTS))
+        & X.one_of(F.lower(F.element_at(segs, -1)), vocab.UNIT_MANIFESTS))
     tops = shipped.select("project", F.get(segs, F.lit(0)).alias("top")).distinct()
     return tops.groupBy("project").count().filter("count >= 2").select(
         "project", F.lit("*").alias("pattern"))
@@ -229,8 +229,7 @@ def jaccard(ta: Column, tb: Column) -> Column:
 
 
 def meaningful(shared: Column) -> Column:
-    generic = F.array(*[F.lit(t) for t in vocab.GENERIC_TOKENS])
-    return F.size(F.array_except(shared, generic)) > 0
+    return F.size(F.array_except(shared, X.words(vocab.GENERIC_TOKENS))) > 0
 
 
 def parallel_sibling(a: Side, b: Side) -> Column:

@@ -5,14 +5,14 @@ re-run gives the same rows.  Keys are (project, file, scope, name).
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab
 from ..schema import KEY, REGISTRY_COLUMNS
-from .latest import latest
+from .latest import latest, top_per_group
 
 GONE = ["missing", "file_deleted"]
 FOUND = ["lang", "kind", "line", "value_preview", "value_hash", "redacted", "anno"]
@@ -277,23 +277,21 @@ def reconcile(registry: DataFrame, found: DataFrame, files: DataFrame, as_of,
     found: described rows of the re-read files; files: files that exist;
     skipped: files that exist but were not re-read (unchanged or too large).
     Returns the new registry columns plus old_status, old_scope, moved, outcome."""
-    by_name = found.groupBy("project", "file", "name").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.collect_list(F.struct("ord", "scope", "line", "value_preview", "value_hash")).alias("_occ"))
+    seen_as = F.struct("scope", "line", "value_preview", "value_hash")
+    by_key = latest(found, KEY, ["ord"]).select(*KEY, seen_as.alias("_exact"))
+    once = (found.groupBy("project", "file", "name")
+            .agg(F.count(F.lit(1)).alias("_n"), F.max_by(seen_as, "ord").alias("_moved"))
+            .filter("_n = 1").drop("_n"))
+    j = registry.join(by_key, KEY, "left")
+    # a row whose key is gone may move when its name occurs once in the file, and
+    # only onto a free key; of several such rows the first by scope takes it
+    movers = (j.filter("_exact is null").select(*KEY).join(once, ["project", "file", "name"])
+              .withColumn("_goal", F.col("_moved.scope")))
+    keys = registry.select("project", "file", F.col("scope").alias("_goal"), "name")
+    movers = movers.join(keys, ["project", "file", "_goal", "name"], "left_anti").drop("_goal")
+    movers = top_per_group(movers, ["project", "file", "name"], [F.col("scope")], 1)
     present = files.select("project", "file").distinct().withColumn("_here", F.lit(True))
-    j = registry.join(by_name, ["project", "file", "name"], "left")
-    in_scope = F.filter("_occ", lambda o: o["scope"] == F.col("scope"))
-    exact = F.array_max(in_scope)           # greatest ord = last occurrence
-    # a row may move only when the name occurs once, and only onto a free key;
-    # of several candidates the first by scope takes it
-    same_name = Window.partitionBy("project", "file", "name")
-    j = j.withColumn("_exact", exact)
-    only = F.when(F.col("_exact").isNull() & (F.col("_n") == 1), F.get(F.col("_occ"), F.lit(0)))
-    j = j.withColumn("_only", only)
-    taken = F.array_contains(F.collect_set("scope").over(same_name), F.col("_only.scope"))
-    first = F.min(F.when(F.col("_only").isNotNull(), F.col("scope"))).over(same_name) == F.col("scope")
-    j = j.withColumn("_moved", F.when(~taken & first, F.col("_only")))
-    j = j.join(present, ["project", "file"], "left")
+    j = j.join(movers, KEY, "left").join(present, ["project", "file"], "left")
     if skipped is not None:
         j = j.join(skipped.select("project", "file").distinct().withColumn("_skip", F.lit(True)),
                    ["project", "file"], "left")
@@ -334,7 +332,6 @@ def tracked_files(registry: DataFrame, limit: int | None = None) -> DataFrame:
 
 def first_files(registry: DataFrame, per_project: int) -> DataFrame:
     """The first tracked files of each project, in path order."""
-    from .latest import top_per_group
     return top_per_group(tracked_files(registry), ["project"], [F.col("file")], per_project)
 
 
