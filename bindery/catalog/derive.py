@@ -16,7 +16,13 @@ AS_OF = "2025-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A source table; one that arrives in fewer partitions than there are cores
+    (a small file) is spread over them, a large one is read as it is split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages", "part") and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 # ------------------------------------------------------------- assignments

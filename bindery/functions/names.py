@@ -137,6 +137,13 @@ def pair_key(id_a: Column, id_b: Column) -> Column:
     return normalize_pair_key(F.array_join(F.array_sort(F.array(id_a, id_b)), "||"))
 
 
+def key_side(file: Column, scope: Column, name: Column) -> Column:
+    """A row's side of a normalised pair key; null when a part holds the
+    separator, so that only `pair_key` can tell the sides apart."""
+    sides = [F.trim(F.replace(c, F.lit("\\"), F.lit("/"))) for c in (file, scope, name)]
+    return F.when(~F.concat(file, scope, name).contains("|"), F.concat_ws("|", *sides))
+
+
 def scope_depth(scope: Column) -> Column:
     return F.when(scope == "", 0).otherwise(F.size(F.split(scope, r"\.")))
 

@@ -60,12 +60,15 @@ def live_features(registry: DataFrame, settings: dict | None = None) -> DataFram
         "linkable": _linkable_name(name), "norm": norm, "tokens": N.name_tokens(name), "_bare": X.bare_value(value), "_visible": visible})
     df = df.withColumn("anchor", X.nontrivial_bare(F.col("_bare"), F.col("redacted")) & ~destructured)
     visible = F.col("_visible")
+    df = df.withColumn("key_id", N.key_side(file, F.col("scope"), name))
     df = df.withColumn("link_text", F.concat_ws(" \n ", visible, F.coalesce("anno", F.lit(""))))
     return df.select(
         "project", N.row_id(file, F.col("scope"), name).alias("id"),
         "linkable", "file", "scope", "name", "lang", "status", "value_hash",
         F.coalesce("line", F.lit(0)).alias("line"),
-        N.dir_of(file).alias("dir"), "norm", "tokens",
+        N.dir_of(file).alias("dir"), "norm", "tokens", "key_id",
+        name.rlike(r"(?U)\W").alias("odd_name"),
+        N.without_digits_tail(name).alias("trunk"), F.ltrim(name, F.lit("_")).alias("core"),
         N.ordered_tokens(name).alias("words"),
         N.role(name, F.col("lang")).alias("role"),
         "anchor", (F.col("anchor") & (F.col("status") != "drifted")).alias("same_value_ok"),
@@ -212,7 +215,7 @@ def derived(a: Side, b: Side) -> Column:
     def names(x, y):
         plain = F.array_contains(x["link_words"], y["name"])
         pattern = F.concat(F.lit(r"(?U)(?<![\w.])\Q"), y["name"], F.lit(r"\E(?!\w)"))
-        return F.when(y["name"].rlike(r"(?U)\W"),
+        return F.when(y["odd_name"],
                       x["link_text"].contains(y["name"]) & F.rlike(x["link_text"], pattern)).otherwise(plain)
 
     return names(a, b) | names(b, a)
@@ -274,9 +277,8 @@ def pair_facts(a: Side, b: Side) -> dict[str, Column]:
         "same_name": (a["name"] == b["name"]) | (F.coalesce(fold_case, F.lit(False)) & norm_equal),
         "norm_equal": norm_equal,
         "shared": F.array_intersect(a["tokens"], b["tokens"]),
-        "n_union": F.size(F.array_union(a["tokens"], b["tokens"])),
         "excluded": (a["ignored"] & b["ignored"]) | (~same_file & a["convention"] & b["convention"]) | (
-            same_file & (a["scope"] == b["scope"]) & N.numeric_sibling(a["name"], b["name"])),
+            same_file & (a["scope"] == b["scope"]) & (a["name"] != b["name"]) & (a["trunk"] == b["trunk"])),
     }
 
 
@@ -306,7 +308,7 @@ def base_score(a: Side, b: Side) -> Column:
               .when(same_hash & (both > 0), _verdict(80, "same-value-related-name"))
               .when(same_hash, _verdict(60, "same-value"))
               .when(~meaningful(shared), none)
-              .when((both * 2 >= F.col("n_union")) & (na >= 2) & (nb >= 2), _verdict(55, "token-overlap"))
+              .when((both * 2 >= na + nb - both) & (na >= 2) & (nb >= 2), _verdict(55, "token-overlap"))
               .when(F.exists(shared, lambda t: F.length(t) >= 4) & (na <= 3) & (nb <= 3),
                     _verdict(40, "shared-token"))
               .otherwise(none))
@@ -326,7 +328,7 @@ def adjustment(a: Side, b: Side, reason: Column) -> Column:
     same_file = F.col("same_file")
     return (F.when(F.coalesce(a["lang"] == b["lang"], a["lang"].isNull() & b["lang"].isNull()), 3).otherwise(0)
             + F.when(F.col("same_dir"), 2).otherwise(0)
-            - F.when(same_file & N.underscore_variant(a["name"], b["name"]), 30).otherwise(0)
+            - F.when(same_file & (a["core"] == b["core"]) & (a["name"] != b["name"]), 30).otherwise(0)
             - F.when(a["test"] & b["test"], 25).when(a["test"] | b["test"], 30).otherwise(0)
             - F.when(reason.isin(FAMILY_REASONS) & same_file, F.when(parallel_sibling(a, b), 20).otherwise(0))
             .otherwise(0))
@@ -350,13 +352,13 @@ def score(pairs: DataFrame) -> DataFrame:
     a filter on a computed column would be pushed down and repeat the chain."""
     a, b = Side("a"), Side("b")
     df = pairs.withColumns(pair_facts(a, b))
-    df = df.select("*", F.explode(F.array_compact(F.array(base_score(a, b)))).alias("_base"))
-    reason = F.col("_base.reason")
-    total = F.when(reason.isin(LINKS), F.col("_base.score")).otherwise(
-        F.least(F.col("_base.score") + adjustment(a, b, reason), F.lit(99)))
-    kept = F.filter(F.array(F.struct(total.alias("score_int"), reason.alias("reason"))),
-                    lambda s: s["score_int"] >= vocab.LEVEL_FLOOR["low"])
-    return df.select(*pairs.columns, "shared", F.inline(kept)).withColumn("level", level(F.col("score_int")))
+    df = df.select("*", F.inline(F.array(base_score(a, b))).alias("_score", "reason")).filter("reason is not null")
+    reason = F.col("reason")
+    total = F.when(reason.isin(LINKS), F.col("_score")).otherwise(
+        F.least(F.col("_score") + adjustment(a, b, reason), F.lit(99)))
+    df = df.select(*pairs.columns, "shared", "reason", F.explode(F.array(total)).alias("score_int"))
+    return (df.filter(F.col("score_int") >= vocab.LEVEL_FLOOR["low"])
+            .withColumn("level", level(F.col("score_int"))))
 
 
 def _shown(x: Side) -> Column:
@@ -381,7 +383,10 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
     a, b = Side("a"), Side("b")
     pairs = score(blocked_pairs(feats, sizes, max_bucket)).select(
         "project", a["id"].alias("id_a"), b["id"].alias("id_b"),
-        N.pair_key(a["id"], b["id"]).alias("pair_key"),
+        # both sides spelled the usual way: their tidied ids, in order
+        F.when(a["key_id"].isNotNull() & b["key_id"].isNotNull(), F.concat(
+            F.least(a["key_id"], b["key_id"]), F.lit("||"), F.greatest(a["key_id"], b["key_id"])))
+        .otherwise(N.pair_key(a["id"], b["id"])).alias("pair_key"),
         "score_int", "level", "reason",
         F.array_join("shared", "+").alias("family"), F.size("shared").alias("family_size"),
         a["norm"].alias("norm_a"), b["norm"].alias("norm_b"),
