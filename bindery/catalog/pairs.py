@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..functions import text as X
 from ..functions import vocab
 from ..operators import linkage as L
 from ..plans import reports as G
@@ -232,6 +231,13 @@ def scored_pairs(spark, sf):
         "project", "pair_key", "score_int", "level", "reason")
 
 
+def ignored_pairs(spark, sf):
+    """Scored pairs when each project ignores the names its scan rows bear."""
+    r = D.registry(spark, sf)
+    names = r.filter("origin = 'scan' and lang = 'powershell'").select("project", "name")
+    return L.scored_pairs(r, ignored=names).select("project", "pair_key", "score_int", "reason")
+
+
 def _with_reviews(spark, sf):
     """(registry, scored pairs, reviews), the pairs staged because the reviews
     are derived from them."""
@@ -391,6 +397,11 @@ ends AS (SELECT project, unnest([id_a, id_b]) AS id, CASE level WHEN 'high' THEN
 var_level AS (SELECT project, id, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS level
   FROM ends GROUP BY ALL)
 """
+_IGNORED = ("WITH " + D.ASSIGNMENTS + ", " + FEATURES + """,
+listed AS (SELECT DISTINCT project AS p, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS n FROM registry
+  WHERE origin = 'scan' AND lang = 'powershell')""" + ", " + ELIGIBLE + ", " + SCORED.replace(
+    "AS ia,", "OR (a.project, a.norm) IN (SELECT (p, n) FROM listed) AS ia,").replace(
+    "AS ib,", "OR (b.project, b.norm) IN (SELECT (p, n) FROM listed) AS ib,") + " SELECT project, pair_key, score_int, reason FROM scored")
 _UNIT = ("WITH " + D.ASSIGNMENTS + ", " + FEATURES + ", " + ELIGIBLE.replace(
     "WHERE NOT (a.lang = 'env'", "WHERE split_part(a.file, '/', 1) = split_part(b.file, '/', 1) AND NOT (a.lang = 'env'") + ", " + SCORED)
 
@@ -438,6 +449,7 @@ QUERIES = {
     "f6_eligible_pairs": (eligible_pairs, f"{BASE}, {ELIGIBLE} SELECT project, id_a, id_b FROM eligible"),
     "f7_scored_pairs": (scored_pairs, WITH_SCORED + " SELECT project, pair_key, score_int, level, reason FROM scored"),
     "f6_d11_standalone_units": (unit_pairs, _UNIT + " SELECT project, pair_key, score_int, reason FROM scored"),
+    "f18_ignore_names": (ignored_pairs, _IGNORED),
     "f14_join_reviews": (reviewed_pairs, WITH_REVIEWED + " SELECT project, pair_key, human AS verdict FROM ruled"),
     "f15_f16_learned_rules": (learned_rules, WITH_REVIEWED + " SELECT project, rule FROM rules"),
     "f17_apply_learned": (learned_pairs, WITH_REVIEWED + " SELECT project, pair_key, score_int, reason, verdict, learned FROM judged"),
@@ -493,5 +505,3 @@ QUERIES = {
     "h3_filter_issues": (filtered_issues, f"""{WITH_REVIEWED}, {ISSUES} SELECT project, kind, key, title FROM issues
         WHERE level = 'medium' AND NOT reviewed AND contains(lower(title || ' ' || files), 'mod3')"""),
 }
-
-_ = X

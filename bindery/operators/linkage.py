@@ -366,16 +366,27 @@ def _shown(x: Side) -> Column:
     return F.struct(*[x[f if f in own else f"show_{f}"].alias(f) for f in SIDE_FIELDS])
 
 
+def ignore_per_project(feats: DataFrame, names: DataFrame) -> DataFrame:
+    """Flag rows whose name is on the ignore list of their own project."""
+    listed = names.select("project", N.norm_name(F.col("name")).alias("norm")).distinct().withColumn(
+        "_listed", F.lit(True))
+    return (feats.join(listed, ["project", "norm"], "left")
+            .withColumn("ignored", F.col("ignored") | F.coalesce("_listed", F.lit(False))).drop("_listed"))
+
+
 def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: DataFrame | None = None,
-                 max_bucket: int = 200) -> DataFrame:
+                 ignored: DataFrame | None = None, max_bucket: int = 200) -> DataFrame:
     """All scored pairs of every project, before verdicts.
 
-    units: optional (project, pattern) rows of standalone-unit patterns."""
+    settings: apply to all projects; ignored: (project, name) rows on top of
+    them; units: (project, pattern) rows of standalone-unit patterns."""
     # four steps below read the features: they are computed once and staged
     live = stage(live_features(registry, settings), "features")
     base = live.filter("linkable").drop("linkable")
     sizes = block_sizes(block_keys(base))
     feats = with_references(base, live)
+    if ignored is not None:
+        feats = ignore_per_project(feats, ignored)
     if units is not None:
         feats = assign_units(feats, units)
     else:
@@ -440,7 +451,7 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
 def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
                     include_dismissed: bool = False, settings: dict | None = None,
                     units: DataFrame | None = None, paths: DataFrame | None = None,
-                    max_bucket: int = 200) -> DataFrame:
+                    ignored: DataFrame | None = None, max_bucket: int = 200) -> DataFrame:
     """Suspect pairs with verdicts and learned rules applied.
 
     paths: all file paths (project, path), used to detect standalone units when
@@ -453,7 +464,7 @@ def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
             "project", F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern"))
     elif units is None and paths is not None and cfg["auto_standalone_units"]:
         units = auto_unit_patterns(paths, cfg["exclude_dirs"])
-    pairs = scored_pairs(registry, settings=cfg, units=units, max_bucket=max_bucket)
+    pairs = scored_pairs(registry, settings=cfg, units=units, ignored=ignored, max_bucket=max_bucket)
     if reviews is None:
         return pairs.withColumn("review", F.lit(None).cast(
             "struct<verdict:string,note:string,ts:timestamp,learned:boolean>"))
