@@ -10,7 +10,7 @@ from ..operators import registry as R
 from ..operators.extract import last_occurrence
 from ..plans import reports as G
 from ..plans import views as H
-from ..schema import KEY
+from ..schema import KEY, REGISTRY
 from ..sources import tables as T
 from ..streaming import capture as J
 from . import derive as D
@@ -44,18 +44,13 @@ def upsert_lineitem(spark, sf):
     """First half of the writes makes the registry, the rest is upserted."""
     w = _lineitem_writes(spark, sf)
     cut = F.col("ts") < "1998-01-01"
-    empty = spark.createDataFrame([], D_SCHEMA())
+    empty = spark.createDataFrame([], REGISTRY)
     before = R.upsert(empty, w.filter(cut)).drop("action")
     after = R.upsert(before, w.filter(~cut))
     return after.select("project", "file", "name", "value_preview", "first_session", "last_session",
                         "first_seen_at", "last_written_at", "origin", "action")
 
 
-def D_SCHEMA():
-    from ..schema import REGISTRY
-    return REGISTRY
-
-
 LINEITEM = """
 w AS (SELECT 'o' || (l_orderkey % 16)::varchar AS project, l_orderkey::varchar AS file, l_linenumber::varchar AS name,
   round(l_extendedprice)::bigint::varchar || '/' || l_partkey::varchar AS value, l_suppkey::varchar AS session,

@@ -33,7 +33,7 @@ DEFAULT_SETTINGS = {
     "exclude_dirs": [
         ".git", "node_modules", "dist", "build", "out", "target",
         ".venv", "venv", "__pycache__", "vendor", ".next", ".claude",
-        ".varmem", ".kilo",
+        ".bindery", ".kilo",
     ],
     "context_limit": 25,
     "session_start_reconcile_max_files": 200,
