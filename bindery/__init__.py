@@ -1 +1,8 @@
 """Assignment-registry analytics on Spark DataFrames."""
+import sys
+
+from pyspark.cloudpickle import cloudpickle
+
+# functions that run in tasks travel with the job, so executors need no copy of
+# this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
