@@ -94,3 +94,9 @@ def test_groups(spark):
 
 def test_schema_is_the_documented_one():
     assert len(REGISTRY.fieldNames()) == 22
+
+
+def test_task_functions_travel_with_the_job():
+    from pyspark.cloudpickle import cloudpickle
+
+    assert "bindery" in cloudpickle.list_registry_pickle_by_value()
