@@ -1,4 +1,5 @@
 """Registered queries of the corpus operators: name -> (Spark callable, SQL twin or None)."""
 from .simhash import QUERIES as simhash
+from .wumanber import QUERIES as wumanber
 
-CATALOG = {**simhash}
+CATALOG = {**wumanber, **simhash}
