@@ -36,12 +36,12 @@ def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts hold about `limit` bytes together, one row at least."""
-    start, rows = 0, len(offsets) - 1
-    while start < rows:
+def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `rows` rows whose texts hold about `limit` bytes together, one row at least."""
+    start, total = 0, len(offsets) - 1
+    while start < total:
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        end = min(max(end, start + 1), rows)
+        end = min(max(end, start + 1), start + rows, total)
         yield start, end
         start = end
 
