@@ -1,5 +1,7 @@
 """Registered queries of the corpus operators: name -> (Spark callable, SQL twin or None)."""
 from .simhash import QUERIES as simhash
+from .stringkernel import QUERIES as stringkernel
+from .tokenids import QUERIES as tokenids
 from .wumanber import QUERIES as wumanber
 
-CATALOG = {**wumanber, **simhash}
+CATALOG = {**wumanber, **stringkernel, **simhash, **tokenids}
