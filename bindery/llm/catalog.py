@@ -2,6 +2,7 @@
 from .simhash import QUERIES as simhash
 from .stringkernel import QUERIES as stringkernel
 from .tokenids import QUERIES as tokenids
+from .transducer import QUERIES as transducer
 from .wumanber import QUERIES as wumanber
 
-CATALOG = {**wumanber, **stringkernel, **simhash, **tokenids}
+CATALOG = {**wumanber, **stringkernel, **transducer, **simhash, **tokenids}
