@@ -1,4 +1,5 @@
 """Registered queries of the corpus operators: name -> (Spark callable, SQL twin or None)."""
+from .mixing import QUERIES as mixing
 from .rulefit import QUERIES as rulefit
 from .simhash import QUERIES as simhash
 from .stringkernel import QUERIES as stringkernel
@@ -6,4 +7,4 @@ from .tokenids import QUERIES as tokenids
 from .transducer import QUERIES as transducer
 from .wumanber import QUERIES as wumanber
 
-CATALOG = {**wumanber, **stringkernel, **transducer, **simhash, **rulefit, **tokenids}
+CATALOG = {**wumanber, **stringkernel, **transducer, **simhash, **mixing, **rulefit, **tokenids}
