@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,14 @@ def text_pieces(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     yield text[start:]
 
 
+def worker_state(key: str, make: Callable):
+    """Something costly that the tasks of one Python worker share, such as a loaded vocabulary; made on first use."""
+    held = sys.modules.setdefault("_bindery_worker", types.ModuleType("_bindery_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) of the linked nodes of `edges` (a, b): root is the smallest node reachable.
 

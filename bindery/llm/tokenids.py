@@ -8,14 +8,14 @@ let a look-up skip stripes and row groups.  `layout` gives each file's first
 position from the narrow columns alone.
 
 Texts are encoded by the tokenizers library.  It never lets a token span white
-space, so pieces between ASCII white space are encoded once per task and cached.
+space, so pieces between ASCII white space are encoded once and cached.
 """
 from __future__ import annotations
 
 import os
 import uuid
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import stage_dir
-from .common import byte_view, row_slices, table
+from .common import byte_view, row_slices, table, worker_state
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-#: distinct pieces kept per task, and bytes of the longest that is kept
-CACHE, PIECE = 200_000, 64
+#: distinct pieces, and ids of all of them, that a Python worker keeps
+CACHE, CACHE_IDS = 600_000, 12_000_000
+#: ASCII marks but the apostrophe
+MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 ORC = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000",
        "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
@@ -39,47 +41,124 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+
+
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of every run, one run after the other."""
+    return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 class Encoder:
     """Token ids of texts through a bounded cache of white-space separated pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, list[int]] = {}
-
-    def __call__(self, texts: list[bytes], end: int) -> list[np.ndarray]:
+        # the same model for lower-case ASCII words, which normal form and splitter leave as they are
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        #: whether an id ends a word, where the vocabulary marks that
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.slot: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.start = self.size = np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Drops the pieces that came last; frequent ones mostly come early."""
+        kept = min(len(self.slot), CACHE) // 2
+        self.slot = dict(islice(self.slot.items(), kept))
+        self.start, self.size = self.start[:kept].copy(), self.size[:kept].copy()
+        self.ids = self.ids[:int(self.size.sum())].copy()
+        if len(self.ids) > CACHE_IDS // 2:
+            self.slot, self.ids, self.start, self.size = {}, self.ids[:0], self.start[:0], self.size[:0]
+
+    @staticmethod
+    def coded(library, texts: list[str]) -> list[list[int]]:
+        return [c.ids for c in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, library, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of words of letters alone, encoded as lines and cut where an id ends a word."""
+        lines = [words[i:i + 500] for i in range(0, len(words), 500)]
+        ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for line, coded in zip(lines, self.coded(library, [" ".join(x) for x in lines])):
+            coded = np.array(coded, np.int32)
+            size = np.diff(np.flatnonzero(self.ends[coded]), prepend=-1)
+            if len(size) != len(line) or size.sum() != len(coded):
+                coded, size = flat(self.coded(self.library, line))
+            ids.append(coded)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces.  ASCII marks after letters are a run of their own, unless an apostrophe is among them."""
+        texts = b"\n".join(pieces).decode().split("\n")
+        cut = [t.rstrip(MARKS) for t in texts]
+        cut = [c if c.isalpha() and c[-1] != "\u0130" else t for c, t in zip(cut, texts)]
+        marks: dict[str, int] = {"": 0}
+        tail = np.array([marks.setdefault(t[len(c):], len(marks)) for c, t in zip(cut, texts)], np.int64)
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(c.lower() if c.isascii() and c.isalpha() else c, len(number)) for c in cut])
+        group = np.array([0 if c.isascii() and c.isalpha() else 1 if c.isalpha() else 2 for c in number])
+        stems = [[], [], []]
+        for c, g in zip(number, group.tolist()):
+            stems[g].append(c)
+        order = np.argsort(group, kind="stable")
+        parts = [self.words(self.plain, stems[0]), self.words(self.library, stems[1]),
+                 flat(self.coded(self.library, stems[2])), flat(self.coded(self.library, list(marks)))]
+        ids, size = (np.concatenate(x) for x in zip(*parts))
+        start = np.cumsum(size) - size
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # two runs for each piece: the stem, then the tail or nothing
+        run = np.c_[place[of], tail + len(order)]
+        run_size = size[run]
+        fresh = ids[spans(start[run].ravel(), run_size.ravel())]
+        size = run_size.sum(axis=1)
+        self.slot.update(zip(pieces, range(len(self.slot), len(self.slot) + len(pieces))))
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.ids = np.r_[self.ids, fresh]
+
+    def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's number of ids), `end` after each text."""
         pieces = [t.split() for t in texts]
-        new = list(set().union(*pieces).difference(self.known))
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = list(set().union(*pieces))
-        coded = self.library.encode_batch([p.decode() for p in new], add_special_tokens=False)
-        fresh = {p: c.ids for p, c in zip(new, coded)}
-        self.known.update(fresh)
-        known = self.known
-        out = [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, p)), (end,)), np.int32) for p in pieces]
-        for p in new:
-            if len(p) > PIECE:
-                del known[p]
-        return out
+        new = set().union(*pieces).difference(self.slot)
+        if len(self.slot) + len(new) > CACHE or len(self.ids) > CACHE_IDS:
+            self.forget()
+            new = set().union(*pieces).difference(self.slot)
+        if new:
+            self.learn(list(new))
+        count = np.array([len(p) for p in pieces], np.int64)
+        slot = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(pieces)), np.int64, count.sum())
+        size = self.size[slot]
+        text_of = np.repeat(np.arange(len(texts)), count)
+        total = np.bincount(text_of, size, minlength=len(texts)).astype(np.int64) + 1
+        # ids of the pieces in order; each text's end id takes the place after its last piece
+        source = spans(self.start[slot], size)
+        out = np.full(total.sum(), end, np.int32)
+        out[np.arange(len(source)) + np.repeat(text_of, size)] = self.ids[source]
+        return out, total
 
 
 def _encode(path: str, end: int, names: list[str]):
     def run(batches):
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder = worker_state(f"encoder {path}", lambda: Encoder(path))
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             data = memoryview(data)
             for low, high in row_slices(offsets, rows=4096):
-                ids = encoder([bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])], end)
-                size = np.array([len(x) for x in ids], np.int64)
+                ids, size = encoder([bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])], end)
                 start = np.cumsum(size) - size
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), np.concatenate(ids))
+                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), batch.column(0)[low:high],
+                    [pa.array(np.full(high - low, part, np.int32)), batch.column(0)[low:high],
                      pa.array(before + start), pa.array(size), lists], names=names)
                 before += int(size.sum())
     return run
