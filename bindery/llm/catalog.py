@@ -2,9 +2,11 @@
 from .mixing import QUERIES as mixing
 from .rulefit import QUERIES as rulefit
 from .simhash import QUERIES as simhash
+from .sitelines import QUERIES as sitelines
 from .stringkernel import QUERIES as stringkernel
 from .tokenids import QUERIES as tokenids
 from .transducer import QUERIES as transducer
+from .urllists import QUERIES as urllists
 from .wumanber import QUERIES as wumanber
 
-CATALOG = {**wumanber, **stringkernel, **transducer, **simhash, **mixing, **rulefit, **tokenids}
+CATALOG = {**urllists, **wumanber, **stringkernel, **sitelines, **transducer, **simhash, **mixing, **rulefit, **tokenids}
