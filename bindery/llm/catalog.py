@@ -1,4 +1,5 @@
 """Registered queries of the corpus operators: name -> (Spark callable, SQL twin or None)."""
+from .learnedparts import QUERIES as learnedparts
 from .mixing import QUERIES as mixing
 from .rulefit import QUERIES as rulefit
 from .simhash import QUERIES as simhash
@@ -9,4 +10,5 @@ from .transducer import QUERIES as transducer
 from .urllists import QUERIES as urllists
 from .wumanber import QUERIES as wumanber
 
-CATALOG = {**urllists, **wumanber, **stringkernel, **sitelines, **transducer, **simhash, **mixing, **rulefit, **tokenids}
+CATALOG = {**learnedparts, **urllists, **wumanber, **stringkernel, **sitelines, **transducer, **simhash, **mixing,
+           **rulefit, **tokenids}
