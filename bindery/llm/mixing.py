@@ -25,7 +25,7 @@ from .wordscan import Powers, Words
 #: labelled rows that the classifier is fitted on, at most
 SAMPLE = 4_000
 BUCKET_BITS = 12
-ROUNDS, TOLERANCE, PULL = 40, 1e-3, 1e-3
+ROUNDS, TOLERANCE, PULL = 30, 1e-3, 1e-3
 #: the gradient's Lipschitz constant is 1 + PULL in the metric of fit_rates
 STEP = 1 / (1 + PULL)
 #: domains of the labelled table and the token shares that the query asks for
@@ -218,9 +218,10 @@ def mixing(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WE
 
 
 def drawn(rate: Column, *keys: str) -> Column:
-    """Copies of a row that a rate stands for: its whole part, and one more by a uniform hash of the keys."""
+    """Copies of a row that a rate stands for: its whole part, and one more where a uniform hash of the keys is less
+    than the rest."""
     uniform = F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
-    return F.floor(rate) + (uniform < rate - F.floor(rate)).cast("long")
+    return F.ceil(rate - uniform)
 
 
 def op8_mixing(spark, sf_dir) -> DataFrame:

@@ -69,16 +69,16 @@ def _code_sets(batches):
 def sample(docs: DataFrame, labelled: Column, id_col: str, text_col: str, lang_col: str, size: int) -> DataFrame:
     """The first `size` labelled rows of each language in the order of their ids' hashes.
 
-    The order is settled on narrow rows; texts are read only of rows below each
-    language's last hash.
+    A count of each language says up to which hash rows are needed, so that only
+    about twice the sample is ranked.
     """
-    order = F.xxhash64(id_col)
+    # the hash as a uniform number in 0..1
+    order = (F.xxhash64(id_col) / F.lit(float(1 << 64)) + 0.5).alias("o")
     docs = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    keys = docs.select(F.col(lang_col).alias("lang"), order.alias("o"))
-    first = keys.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("o"))).where(f"n <= {size}")
-    last = first.groupBy("lang").agg(F.max("o").alias("last"))
-    near = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order.alias("o")).join(
-        F.broadcast(last), "lang").where("o <= last")
+    docs = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), order)
+    # as many rows again as are wanted, lest chance leave too few
+    last = docs.groupBy("lang").agg((2 * size / F.count("*")).alias("last"))
+    near = docs.join(F.broadcast(last), "lang").where("o <= last")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
     return near.withColumn("n", rank).where(f"n <= {size}").select("lang", "text")
 
@@ -134,35 +134,38 @@ def has_letter(text: np.ndarray) -> bool:
     return bool(letter.any()) and any(c.isalpha() for c in text.tobytes().decode("utf-8", "replace"))
 
 
+def language(model: Model, text_col: str = "text") -> Column:
+    """struct(lang_pred, score) of a text; see `identify`."""
+    def run(texts: pa.Array) -> pa.Array:
+        place, width = model.place(), len(model.codes)
+        data, offsets = byte_view(texts)
+        pred, score = np.full(len(texts), -1), np.zeros(len(texts))
+        for low, high in row_slices(offsets, rows=max(1, CELLS // (width + 1))) if width else ():
+            part = data[offsets[low]:offsets[high]]
+            seen = presence(part, offsets[low:high + 1] - offsets[low], place, width)
+            value = seen @ model.weights / np.sqrt(np.maximum(1, seen.sum(axis=1, keepdims=True)))
+            pred[low:high] = value.argmax(axis=1)
+            score[low:high] = np.clip((value.max(axis=1) + 1) / 2, 0, 1)
+        for i in range(len(texts)):
+            if not has_letter(data[offsets[i]:offsets[i + 1]]):
+                pred[i], score[i] = -1, 0
+        names = [*model.langs, UNDETERMINED]
+        return pa.StructArray.from_arrays([pa.array([names[p] for p in pred], pa.string()), pa.array(score)],
+                                          names=["lang_pred", "score"])
+
+    return F.arrow_udf(run, "struct<lang_pred: string, score: double>")(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row, from the whole text alone.
 
     score is the best regression value, which aims at 1 for a language and -1
     for the rest, moved to 0..1; languages that tie go by name.  Texts that are
     null or hold no letter are `und` with score 0, and so is every text if
-    nothing was learned.
+    nothing was learned.  Repeated rows are judged one by one; other columns
+    are not read.
     """
-    def run(batches):
-        place, width = model.place(), len(model.codes)
-        for batch in batches:
-            data, offsets = byte_view(batch.column(1))
-            pred, score = np.full(len(batch), -1), np.zeros(len(batch))
-            for low, high in row_slices(offsets, rows=max(1, CELLS // (width + 1))) if width else ():
-                part = data[offsets[low]:offsets[high]]
-                seen = presence(part, offsets[low:high + 1] - offsets[low], place, width)
-                value = seen @ model.weights / np.sqrt(np.maximum(1, seen.sum(axis=1, keepdims=True)))
-                pred[low:high] = value.argmax(axis=1)
-                score[low:high] = np.clip((value.max(axis=1) + 1) / 2, 0, 1)
-            for i in range(len(batch)):
-                if not has_letter(data[offsets[i]:offsets[i + 1]]):
-                    pred[i], score[i] = -1, 0
-            names = [*model.langs, UNDETERMINED]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([names[p] for p in pred], pa.string()), pa.array(score)],
-                names=[id_col, "lang_pred", "score"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(id_col, language(model, text_col).alias("l")).select(id_col, "l.lang_pred", "l.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
