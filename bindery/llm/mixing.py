@@ -115,7 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column | None = None, id_c
     sets = texts.join(F.broadcast(chosen.select("id")), "id", "left_semi").mapInArrow(run, f"id {kind}, bits binary")
     rows = sets.groupBy("id").agg(F.min("bits").alias("bits")).join(F.broadcast(chosen), "id").collect()
     rows = sorted((r.id, bytes(r.bits), r.domain) for r in rows)
-    has = np.unpackbits(np.frombuffer(b"".join(b for _, b, _ in rows), np.uint8).reshape(len(rows), -1), axis=1)
+    has = np.unpackbits(np.frombuffer(b"".join(b for _, b, _ in rows), np.uint8).reshape(-1, 1 << BUCKET_BITS - 3), axis=1)
     return fit_classifier(has, [d for _, _, d in rows])
 
 
@@ -176,7 +176,7 @@ def fit_rates(members: DataFrame, domains: list[str], weights: Mapping[str, floa
     first = members.agg(F.sum(n_tokens).cast("double"), *[F.sum(n_tokens * p[i]) for i in range(n)],
                         *[F.sum(n_tokens * p[i] * p[j]) for i, j in pairs]).first()
     tokens, have = first[0] or 0.0, np.array([x or 0.0 for x in first[1:n + 1]])
-    share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
+    share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains], float)
     if not tokens or not share.sum():
         return Rates(domains, [], cap, have.tolist(), have.tolist(), have.tolist())
     share /= share.sum()

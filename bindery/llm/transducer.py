@@ -242,6 +242,8 @@ class Counter:
         return out, extra
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0, np.int64)
         pairs = [self.plain(t) for t in texts]
         total = np.array([extra for _, extra in pairs], np.int64)
         # a space after each text keeps words apart
