@@ -10,17 +10,25 @@ from bindery.schema import REVIEWS
 from bindery.staging import stage
 
 CORPUS = {
-    "main": {
-        "src/a.py": 'MAX_RETRIES = 5\nDB_CONN_STRING = "postgres://db.internal:5432/prod"\n',
-        "src/b.py": "RETRY_LIMIT = 5\n", "src/c.py": "max_retries = 8\n", "src/c2.py": "maxRetries = 7\n",
-        "src/d.py": "MAX_RETRIES = 9\n", "src/e.py": 'DATABASE_URL = "postgres://db.internal:5432/prod"\n',
-        "src/e2.py": '_BASE_URL = "https://svc.internal"\nbase_url = _BASE_URL\nTIMEOUT = 30\ntimeout = 99\n',
-        "src/f2.py": 'Severity = Literal["critical", "warning"]\nclass Model:\n    severity: Severity = "warning"\n',
-        "src/h1.py": '_PRODUCTS = ["green", "yellow"]\n', "src/h2.py": 'PRODUCTS = ["green"]\n',
-        "src/g1.py": 'DSN = "postgres://db-one/x"\n', "src/g2.py": 'DSN = "postgres://db-two/y"\n',
-        "src/p1.ps1": '$ConnHost = "db.internal.example"\n', "src/p2.ps1": '$connhost = "db.internal.example"\n',
-        "src/f.py": "logger = logging.getLogger(__name__)\n", "src/g.py": "logger = logging.getLogger(__name__)\n",
-        "src/i1.py": "__all__ = ['aa', 'bb']\n", "src/i2.py": "__all__ = ['aa', 'cc']\n",
+    # spelling of one name: same role, other role, other case in one shell, private twin, dotted or dunder
+    "spelling": {
+        "kitchen/oven.py": "bake_minutes = 40\n", "kitchen/grill.py": "bakeMinutes = 25\n",
+        "hall/door.py": "BAKE_MINUTES = 10\nclass Door:\n    def open(self):\n        self.bake_minutes = 1\n",
+        "win/left.ps1": "$GuestSeat = 'window-12'\n", "win/right.ps1": "$guestseat = 'window-12'\n",
+        "menu/day.py": "_DISHES = ['soup']\n", "menu/night.py": "DISHES = ['stew', 'soup']\n",
+        "menu/names.py": "__slots__ = ['a1']\n", "hall/names.py": "__slots__ = ['b2']\n",
+    },
+    # values: equal under unrelated and related names, different under one name, idioms, own place
+    "value": {
+        "north/a.py": 'ferry_route = "quay-7/island-3"\nTIDE = 18\ntide = 19\n', "south/b.py": 'WATER_LINE = "quay-7/island-3"\n',
+        "north/c.py": "DECK_COUNT = 3\n", "north/d.py": "DECK_COUNT = 4\n", "south/e.py": "DECK_HEIGHT = 6\n",
+        "north/log.py": "log = logging.getLogger(__name__)\n", "south/log.py": "log = logging.getLogger(__name__)\n",
+    },
+    # one side says where its value comes from
+    "origin": {
+        "a.py": '_HARBOUR = "pier-nine"\nharbour = _HARBOUR\n',
+        "b.py": 'Colour = Choice["red", "blue"]\nclass Flag:\n    colour: Colour = "red"\n',
+        "c.py": 'WIND_NAMES = ["foehn", "mistral"]\n', "d.py": "WINDS = WIND_NAMES\n", "e.ts": "const WINDS = list(WIND_NAMES);\n",
     },
     "env": {
         ".env": "API_TOKEN=abcd-efgh\nSERVICE_PORT=80801\n", ".env.example": "API_TOKEN=\nSERVICE_PORT=80801\n",
@@ -32,13 +40,12 @@ CORPUS = {
     "orm": {"m.py": 'cache_namespace = Field(default="prod-cache-7")\nshard_prefix = Field(default="prod-cache-7", description="x")\n'
                     "left = mapped_column(Float, nullable=False)\nright = mapped_column(Float, nullable=False)\n",
             "d.py": "by_tool = defaultdict(list)\nsignature_groups = defaultdict(list)\n"},
-    "source": {"a.py": 'SEVERITY_ORDER = ["low", "high"]\n', "b.py": "SEVERITIES = SEVERITY_ORDER\n",
-               "c.ts": "const SEVERITIES = new Set(SEVERITY_ORDER);\n"},
-    "family": {"k.py": 'KILO_PLUGIN_MARKER = "mark-1"\nKILO_PLUGIN_TEMPLATE = "tpl-two"\n',
-               "u.py": "FETCH_USER_DATA = 'aaaa-1'\nUSER_FETCH_LIST = 'bbbb-2'\n",
-               "s1.py": 'STRIPE_LIVE_KEY = "one-one"\n', "s2.py": 'STRIPE_TEST_KEY = "two-two"\n',
-               "same.ts": "const setPageSize = aaa(1);\nconst changePageSize = bbb(2);\n"
-                          "const rankInputWeight = 3.5;\nconst rankOutputWeight = 4.5;\n"},
+    # names that differ by design lose points within a file, not across files
+    "family": {"roles.py": 'TOWER_CLOCK_LABEL = "lab-1"\nTOWER_CLOCK_HANDLE = "han-2"\n',
+               "order.py": "PAINT_WALL_AREA = 'p-1'\nWALL_PAINT_NAME = 'w-2'\n",
+               "key1.py": 'BOAT_SAIL_KEY = "sail-1"\n', "key2.py": 'BOAT_OARS_KEY = "oars-2"\n',
+               "twins.ts": "const tankInputSpeed = 1.5;\nconst tankOutputSpeed = 2.5;\n"
+                           "const setRopeLength = f1(1);\nconst changeRopeLength = f2(2);\n"},
     "pages": {"i.py": "ISSUE_PAGE_SIZE = 50\n", "u.py": "USER_PAGE_SIZE = 75\n", "t.py": "ITEM_PAGE_SIZE = 90\n"},
     "titles": {"a.ts": 'const panelTitle = "aaaa-1";\n', "b.ts": 'const panelTitle = "bbbb-2";\n', "c.ts": 'const panelTitle = "cccc-3";\n'},
     "eight": {f"f{i}.py": 'SHARED_TIMEOUT_LABEL = "thirty seconds"\n' for i in range(8)},
@@ -65,35 +72,42 @@ def got(pairs, project, *names):
     return [(reason, level) for p, n, reason, level, _ in pairs if p == project and n == frozenset(names)]
 
 
-def test_main_scenario(pairs):
-    assert ("name-variant", "high") in got(pairs, "main", "max_retries", "maxRetries")
-    assert ("case-variant", "medium") in got(pairs, "main", "MAX_RETRIES", "max_retries")
-    assert not got(pairs, "main", "TIMEOUT", "timeout")
-    assert got(pairs, "main", "_BASE_URL", "base_url") == [("alias-derived", "low")]
-    assert got(pairs, "main", "Severity", "severity") == [("alias-derived", "low")]
-    assert got(pairs, "main", "MAX_RETRIES") == [("value-mismatch", "high")]
-    assert got(pairs, "main", "_PRODUCTS", "PRODUCTS") == [("name-variant", "high")]
-    assert not got(pairs, "main", "DSN") and not got(pairs, "main", "logger") and not got(pairs, "main", "__all__")
-    assert got(pairs, "main", "ConnHost", "connhost") == [("same-name-same-value", "high")]
-    assert got(pairs, "main", "DB_CONN_STRING", "DATABASE_URL") == [("same-value", "medium")]
-    assert {r for r, _ in got(pairs, "main", "MAX_RETRIES", "RETRY_LIMIT")} == {"shared-token"}
+def test_spelling(pairs):
+    assert got(pairs, "spelling", "bake_minutes", "bakeMinutes") == [("name-variant", "high")]
+    assert got(pairs, "spelling", "BAKE_MINUTES", "bake_minutes") == [("case-variant", "medium")]
+    assert not got(pairs, "spelling", "self.bake_minutes", "BAKE_MINUTES")
+    assert got(pairs, "spelling", "GuestSeat", "guestseat") == [("same-name-same-value", "high")]
+    assert got(pairs, "spelling", "_DISHES", "DISHES") == [("name-variant", "high")]
+    assert not got(pairs, "spelling", "__slots__")
+
+
+def test_equal_and_different_values(pairs):
+    assert got(pairs, "value", "ferry_route", "WATER_LINE") == [("same-value", "medium")]
+    assert got(pairs, "value", "DECK_COUNT") == [("value-mismatch", "high")]
+    assert {r for r, _ in got(pairs, "value", "DECK_COUNT", "DECK_HEIGHT")} == {"shared-token"}
+    assert not got(pairs, "value", "TIDE", "tide") and not got(pairs, "value", "log")
+
+
+def test_named_origins(pairs):
+    assert got(pairs, "origin", "_HARBOUR", "harbour") == [("alias-derived", "low")]
+    assert got(pairs, "origin", "Colour", "colour") == [("alias-derived", "low")]
+    assert got(pairs, "origin", "WINDS") == [("shared-source", "low")]
 
 
-def test_templates_sources_and_units(pairs):
+def test_templates_and_units(pairs):
     assert not got(pairs, "env", "API_TOKEN") and not got(pairs, "env", "SERVICE_PORT")
     assert got(pairs, "env", "LOG_FILE") == [("shared-env-source", "low")]
     assert not got(pairs, "units", "RUNTIME_TAG") and got(pairs, "oneroot", "RUNTIME_TAG")
-    assert got(pairs, "source", "SEVERITIES") == [("shared-source", "low")]
 
 
 def test_values_and_families(pairs):
     assert got(pairs, "orm", "cache_namespace", "shard_prefix") == []  # equal default, different declaration text
     assert not [p for p in pairs if p[0] == "orm" and p[2].startswith("same-value")]
-    assert [lv for _, lv in got(pairs, "family", "KILO_PLUGIN_MARKER", "KILO_PLUGIN_TEMPLATE")] == ["low"]
-    assert [lv for _, lv in got(pairs, "family", "FETCH_USER_DATA", "USER_FETCH_LIST")] == ["medium"]
-    assert [lv for _, lv in got(pairs, "family", "STRIPE_LIVE_KEY", "STRIPE_TEST_KEY")] == ["medium"]
-    assert [lv for _, lv in got(pairs, "family", "setPageSize", "changePageSize")] == ["low"]
-    assert [lv for _, lv in got(pairs, "family", "rankInputWeight", "rankOutputWeight")] == ["low"]
+    assert [lv for _, lv in got(pairs, "family", "TOWER_CLOCK_LABEL", "TOWER_CLOCK_HANDLE")] == ["low"]
+    assert [lv for _, lv in got(pairs, "family", "PAINT_WALL_AREA", "WALL_PAINT_NAME")] == ["medium"]
+    assert [lv for _, lv in got(pairs, "family", "BOAT_SAIL_KEY", "BOAT_OARS_KEY")] == ["medium"]
+    assert [lv for _, lv in got(pairs, "family", "tankInputSpeed", "tankOutputSpeed")] == ["low"]
+    assert [lv for _, lv in got(pairs, "family", "setRopeLength", "changeRopeLength")] == ["low"]
     assert len(got(pairs, "eight", "SHARED_TIMEOUT_LABEL")) == 28
 
 
