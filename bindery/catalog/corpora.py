@@ -279,13 +279,13 @@ def session_start(spark, sf):
     registry = A.baseline(p, "2024-01-01")
     later = p.filter("k % 7 <> 0").withColumn("content", F.when(F.col("k") % 3 == 0, "V=2\n").otherwise(F.col("content"))).withColumn(
         "modificationTime", F.when(F.col("k") % 2 == 0, F.lit("2024-02-01").cast("timestamp")).otherwise(F.lit("2023-01-01").cast("timestamp")))
-    out = A.session_start(registry, later, "2024-03-01", max_files=10)
+    out = A.session_start(registry, later, "2024-03-01")
     return out.select("project", "file", "name", "status", "repo_value_preview")
 
 
 SESSION_START = """WITH p AS (SELECT p_brand AS project, p_partkey AS k FROM part),
 f AS (SELECT *, 'ops/' || k::varchar || '.env' AS file FROM p),
-o AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY file) <= 10 AS checked FROM f),
+o AS (SELECT *, true AS checked FROM f),
 r AS (SELECT *, unnest(['V', 'W']) AS name, unnest(['1', k::varchar]) AS value FROM o)
 SELECT project, file, name, CASE WHEN NOT checked THEN 'active' WHEN k % 7 = 0 THEN 'file_deleted'
     WHEN k % 2 = 0 AND k % 3 = 0 THEN CASE name WHEN 'V' THEN 'drifted' ELSE 'missing' END ELSE 'active' END AS status,

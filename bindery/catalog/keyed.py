@@ -262,21 +262,30 @@ def debounce(spark, sf):
 
 # ----------------------------------------------------------- reviews, settings
 
-def _ledgers(spark, sf):
-    """One JSON map of two verdicts per assignment, with untidy pair keys."""
+def _ledgers(spark, sf, swapped=False):
+    """One JSON map of two verdicts per assignment, with untidy pair keys; swapped: and a later one for each."""
+    def turned(other):
+        return F.concat(F.lit(f"{other}.py||"), F.col("seq").cast("string"), F.lit("||"), "file", F.lit("||"), "name")
     def key(other):
         return F.concat(F.replace("file", F.lit("/"), F.lit("\\")), F.lit("| |"), F.col("name"), F.lit(f"||{other}.py||"),
                         F.col("seq").cast("string"))
     verdict = F.struct(F.when(F.col("seq") % 2 == 0, "duplicate").otherwise("not_duplicate").alias("verdict"),
                        F.lit("n").alias("note"), F.col("at").alias("ts"))
+    later = F.struct(F.lit("merged").alias("verdict"), F.lit("n").alias("note"), F.expr("at + interval 1 day").alias("ts"))
+    more = [turned("a"), later, turned("z"), later] if swapped else []
     return D.assignments(spark, sf).select("project", F.to_json(
-        F.create_map(key("a"), verdict, key("z"), verdict)).alias("ledger"))
+        F.create_map(key("a"), verdict, key("z"), verdict, *more)).alias("ledger"))
 
 
 def reviews_read(spark, sf):
     return T.explode_reviews(_ledgers(spark, sf)).select("project", "pair_key", "verdict", "ts")
 
 
+def swapped_reviews(spark, sf):
+    """Ledgers that hold every pair twice, the second time with swapped sides and a later verdict."""
+    return T.explode_reviews(_ledgers(spark, sf, swapped=True)).select("project", "pair_key", "verdict", "ts")
+
+
 def review_upsert(spark, sf):
     old = T.explode_reviews(_ledgers(spark, sf))
     new = old.filter("length(pair_key) % 2 = 0").withColumn("verdict", F.lit("merged")).withColumn(
@@ -452,11 +461,11 @@ QUERIES = {
           FROM changes WHERE tool_name = 'Write' AND path NOT IN ('', '/elsewhere/a.py', 'dist', 'notes.txt'))
         SELECT project, event_id, count(*) FILTER (WHERE n = 1) AS added, count(*) FILTER (WHERE n > 1) AS updated,
           0::bigint AS refreshed, 0::bigint AS removed FROM acts GROUP BY ALL"""),
-    "a10_events_roundtrip": (event_roundtrip, f"""{EV} SELECT project, action, count(*) AS events, min(date_trunc('milliseconds', ts)) AS first,
-        max(date_trunc('milliseconds', ts)) AS last FROM event_log GROUP BY ALL"""),
+    "a10_events_roundtrip": (event_roundtrip, f"""{EV} SELECT project, action, count(*) AS events, min(ts) AS first, max(ts) AS last FROM event_log GROUP BY ALL"""),
     "a6_a7_registry_roundtrip": (registry_roundtrip, f"""{REG} SELECT project, file, scope, name, value_hash, status FROM registry
         WHERE project NOT LIKE '%1' OR scope = ''"""),
     "a8_reviews_read": (reviews_read, f"{REG}, {LEDGER} SELECT project, pair_key, verdict, ts FROM review_rows"),
+    "a8_swapped_keys": (swapped_reviews, f"""{REG}, {LEDGER} SELECT project, pair_key, 'merged' AS verdict, ts + interval '1 day' AS ts FROM review_rows"""),
     "a9_review_upsert": (review_upsert, f"""{REG}, {LEDGER} SELECT project, pair_key,
         CASE WHEN len(pair_key) % 2 = 0 THEN 'merged' ELSE verdict END AS verdict FROM review_rows"""),
     "a11_project_settings": (settings, """WITH p AS (SELECT DISTINCT 'c' || c_nationkey::varchar AS project FROM customer),
@@ -465,7 +474,8 @@ QUERIES = {
         UNION ALL SELECT project, 'max_file_kb', '1024' FROM p"""),
     "a11_ignored_names": (ignored_names, f"{REG} SELECT DISTINCT project, name FROM assignments WHERE origin = 'scan' OR lang = 'python'"),
     "a13_export_md": (export_md, f"""{REG} SELECT '| `' || name || '` | ' || scope || ' | `' || value || '` | ' || status || ' | '
-        || file || ':' || line::varchar || ' | ' || last_session[:8] || ' |' AS value FROM registry"""),
+        || file || ':' || line::varchar || ' | ' || last_session[:8] || ' |' AS value FROM registry
+        UNION ALL SELECT unnest(['| name | scope | value | status | location | last session |', '|---|---|---|---|---|---|'])"""),
     "a13_export_json": (export_json, f"{REG} SELECT project, file, scope, name, value_hash, line::varchar AS repo_line FROM registry"),
     "g1_stats": (stats, f"""{REG}, s AS (SELECT project, string_agg(k || '=' || n::varchar, ',' ORDER BY k) AS by_status
           FROM (SELECT project, status AS k, count(*) AS n FROM registry GROUP BY ALL) GROUP BY project),
@@ -495,7 +505,7 @@ QUERIES = {
           || count(*)::varchar || ' assignments across ' || count(DISTINCT file)::varchar || ' files (' || count(DISTINCT last_session)::varchar
           || ' sessions). Statuses: ' || any_value(by_status) || '.' AS text FROM registry JOIN s USING (project) GROUP BY project),
         gone AS (SELECT *, row_number() OVER (PARTITION BY project, status ORDER BY {NEWEST}) AS ord FROM registry WHERE status <> 'active'),
-        pool AS (SELECT * FROM registry WHERE status = 'active' QUALIFY row_number() OVER (PARTITION BY project ORDER BY {NEWEST}) <= 200),
+        pool AS (SELECT * FROM registry WHERE status = 'active'),
         recent AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY scope <> '', {NEWEST}) AS ord FROM pool
           WHERE scope = '' OR len(name) > 1),
         shown AS (SELECT project, status, ord, seen, file, name, '- `' || name || '`' || CASE WHEN scope <> '' THEN ' [' || scope || ']' ELSE '' END
@@ -511,9 +521,8 @@ QUERIES = {
           UNION ALL SELECT project, 5, ord, CASE WHEN ord = 1 THEN chr(10) || '### Recently written (module-level first, up to 25)' || chr(10) ELSE '' END
             || t FROM shown WHERE status = 'active'),
         whole AS (SELECT project, string_agg(text, chr(10) ORDER BY section, ord) AS text FROM parts GROUP BY project)
-        SELECT project, CASE WHEN len(text) > 6000 THEN text[:5985] || chr(10) || '…(truncated)' ELSE text END AS text FROM whole"""),
-    "h5_recent_pool": (recent_pool, f"""{REG}, pool AS (SELECT * FROM registry WHERE status = 'active'
-          QUALIFY row_number() OVER (PARTITION BY project ORDER BY {NEWEST}) <= 200)
+        SELECT project, CASE WHEN len(text) > 6000 THEN text[:5960] || chr(10) || '…(' || (len(text) - 5960)::varchar || ' characters left out)' ELSE text END AS text FROM whole"""),
+    "h5_recent_pool": (recent_pool, f"""{REG}, pool AS (SELECT * FROM registry WHERE status = 'active')
         SELECT project, file, scope, name FROM pool WHERE scope = '' OR len(name) > 1
         QUALIFY row_number() OVER (PARTITION BY project ORDER BY scope <> '', {NEWEST}) <= 25"""),
     "h1_registry_query": (query, f"""{REG} SELECT project, file, scope, name FROM registry WHERE name ILIKE 'max\\_%' ESCAPE '\\' AND status = 'active'

@@ -76,7 +76,7 @@ blocks AS (
   UNION ALL SELECT project, id, 'h:' || value_hash FROM features WHERE nontrivial AND NOT destructured
   UNION ALL SELECT project, id, 't:' || t FROM (SELECT project, id, unnest(tokens) AS t FROM features) u WHERE len(t) >= 3),
 sizes AS (SELECT project, block, count(*) AS block_rows FROM blocks GROUP BY ALL),
-kept AS (SELECT b.* FROM blocks b JOIN sizes s USING (project, block) WHERE block_rows BETWEEN 2 AND 200),
+kept AS (SELECT b.* FROM blocks b JOIN sizes s USING (project, block) WHERE block_rows > 1),
 candidates AS (
   SELECT DISTINCT a.project, a.id AS id_a, b.id AS id_b FROM kept a JOIN kept b
   ON a.project = b.project AND a.block = b.block AND a.id < b.id)
@@ -216,13 +216,18 @@ def kept_blocks(spark, sf):
     return L.filter_blocks(L.block_keys(_features(spark, sf))).select("project", "block", "id")
 
 
+def unlinked_blocks(spark, sf):
+    base = L.features(D.registry(spark, sf))
+    return L.unlinked_blocks(L.block_sizes(L.block_keys(base)), 5)
+
+
 def candidate_pairs(spark, sf):
     return L.candidate_pairs(L.filter_blocks(L.block_keys(_features(spark, sf))))
 
 
 def eligible_pairs(spark, sf):
     base = L.features(D.registry(spark, sf)).withColumn("unit", F.lit(None).cast("string"))
-    pairs = L.blocked_pairs(base, L.block_sizes(L.block_keys(base)))
+    pairs = L.blocked_pairs(base)
     return pairs.select("project", F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b")).distinct()
 
 
@@ -323,18 +328,18 @@ def report_pairs(spark, sf):
 
 def issues(spark, sf):
     r, pairs = judged(spark, sf)
-    return G.issues(G.report_pairs(pairs), r).drop("files")
+    return G.issues(pairs, r).drop("files")
 
 
 def filtered_issues(spark, sf):
     r, pairs = judged(spark, sf)
-    rows = G.issues(G.report_pairs(pairs), r)
+    rows = G.issues(pairs, r)
     return H.filter_issues(rows, level="medium", review="unreviewed", q="MOD3").select("project", "kind", "key", "title")
 
 
 def triage(spark, sf):
     r, pairs = judged(spark, sf)
-    return G.triage(G.issues(G.report_pairs(pairs), r)).select("project", "kind", "key", "score_int", "reviewed")
+    return G.triage(G.issues(pairs, r)).select("project", "kind", "key", "score_int", "reviewed")
 
 
 def _findings(spark, sf):
@@ -381,19 +386,17 @@ finding AS (
     registry AS r FROM registry WHERE status = 'drifted')
 """
 ISSUES = """
-top_pairs AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY project ORDER BY score_int DESC, pair_key) <= 400),
 issues AS (
   SELECT project, 'duplicate' AS kind, pair_key AS key, level, score_int, reason, verdict, verdict IS NOT NULL AS reviewed,
-    a.name || ' ↔ ' || b.name AS title, a.file || ' ' || b.file AS files FROM top_pairs
+    a.name || ' ↔ ' || b.name AS title, a.file || ' ' || b.file AS files FROM judged
   UNION ALL
   SELECT project, status, 's:' || id, CASE status WHEN 'file_deleted' THEN 'low' ELSE 'medium' END,
     CASE status WHEN 'drifted' THEN 70 WHEN 'missing' THEN 60 ELSE 40 END, replace(status, '_', ' '), NULL, false, name, file
   FROM registry WHERE status IN ('drifted', 'missing', 'file_deleted'))
 """
-_TOPS = "top_pairs AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY project ORDER BY score_int DESC, pair_key) <= 400)"
-_VAR_LEVEL = f"""{_TOPS},
+_VAR_LEVEL = """
 ends AS (SELECT project, unnest([id_a, id_b]) AS id, CASE level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank
-  FROM top_pairs WHERE verdict IS DISTINCT FROM 'not_duplicate'),
+  FROM judged WHERE verdict IS DISTINCT FROM 'not_duplicate'),
 var_level AS (SELECT project, id, CASE max(rank) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS level
   FROM ends GROUP BY ALL)
 """
@@ -445,6 +448,7 @@ QUERIES = {
           lang = 'env' AND env_template AS env_template, env_read, idiom, nontrivial AND NOT destructured AS anchor FROM features"""),
     "f3_block_sizes": (block_sizes, BASE + " SELECT project, block, block_rows FROM sizes"),
     "f4_filter_blocks": (kept_blocks, BASE + " SELECT project, block, id FROM kept"),
+    "f4_unlinked_blocks": (unlinked_blocks, BASE + " SELECT project, block, block_rows AS rows FROM sizes WHERE block_rows > 5"),
     "f5_candidate_pairs": (candidate_pairs, BASE + " SELECT project, id_a, id_b FROM candidates"),
     "f6_eligible_pairs": (eligible_pairs, f"{BASE}, {ELIGIBLE} SELECT project, id_a, id_b FROM eligible"),
     "f7_scored_pairs": (scored_pairs, WITH_SCORED + " SELECT project, pair_key, score_int, level, reason FROM scored"),

@@ -1,8 +1,9 @@
 """Record linkage inside each project: blocks -> candidate pairs -> score.
 
-Rows meet through block keys (normalised name, value hash, name token).  A
-block is kept when it has 2..max_bucket rows, so pairs per block are bounded;
-larger blocks are stop tokens and link nothing.
+Rows meet through block keys (normalised name, value hash, name token).  Rows
+of a scope can only pair inside their file, so they meet under (file, key);
+only rows without a scope meet across the files of a project.  Every block
+links; a caller may set a bound, and `unlinked_blocks` names what it leaves out.
 """
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab
 from ..staging import stage
+from .latest import latest
 
 # an oversized block outside the largest HOT_BLOCKS holds under 1/HOT_BLOCKS of
 # all block rows, which is no more than one task's fair share
@@ -142,14 +144,17 @@ def block_sizes(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("project", "block").agg(F.count(F.lit(1)).alias("block_rows"))
 
 
-def filter_blocks(blocks: DataFrame, max_bucket: int = 200, sizes: DataFrame | None = None) -> DataFrame:
-    """Rows of the blocks with 2..max_bucket members.
+def filter_blocks(blocks: DataFrame, max_bucket: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
+    """Rows of the blocks with two members or more, and with a bound no more than that.
 
-    The largest oversized blocks are dropped before the shuffle (at most
-    HOT_BLOCKS keys are broadcast), so no stop token lands in one task; the
-    join with the sizes decides all the others exactly."""
+    The largest blocks over a bound are dropped before the shuffle (at most
+    HOT_BLOCKS keys are broadcast); the join with the sizes decides all the
+    others exactly."""
     if sizes is None:
         sizes = block_sizes(blocks.select("project", "block"))
+    if max_bucket is None:
+        kept = sizes.filter("block_rows > 1").select("project", "block")
+        return blocks.join(kept.hint("merge"), ["project", "block"])
     hot = (sizes.filter(F.col("block_rows") > max_bucket)
            .orderBy(F.desc("block_rows"), "project", "block").limit(HOT_BLOCKS)
            .select("project", "block"))
@@ -158,6 +163,11 @@ def filter_blocks(blocks: DataFrame, max_bucket: int = 200, sizes: DataFrame | N
             .join(kept.hint("merge"), ["project", "block"]))
 
 
+def unlinked_blocks(sizes: DataFrame, max_bucket: int) -> DataFrame:
+    """(project, block, rows) of the blocks that a bound leaves out."""
+    return sizes.filter(F.col("block_rows") > max_bucket).select("project", "block", F.col("block_rows").alias("rows"))
+
+
 def candidate_pairs(blocks: DataFrame) -> DataFrame:
     """Distinct id pairs that share a (filtered) block."""
     a = blocks.select("project", "block", F.col("id").alias("id_a"))
@@ -166,19 +176,29 @@ def candidate_pairs(blocks: DataFrame) -> DataFrame:
             .select("project", "id_a", "id_b").distinct())
 
 
-def blocked_pairs(feats: DataFrame, sizes: DataFrame, max_bucket: int = 200) -> DataFrame:
+def blocked_pairs(feats: DataFrame, max_bucket: int | None = None) -> DataFrame:
     """Eligible pairs with both sides' features, once per shared block.
 
     The block rows carry their features, so a pair needs no second look-up of
     its sides; the copies a pair gets from several blocks are merged after
-    scoring, where most candidates are gone."""
-    rows = filter_blocks(feats.withColumn("block", F.explode(_keys())), max_bucket, sizes)
+    scoring, where most candidates are gone.  A block of one row pairs with
+    nothing, so without a bound no sizes are counted."""
+    rows = feats.withColumn("block", F.explode(_keys()))
+    if max_bucket is not None:
+        rows = filter_blocks(rows, max_bucket, block_sizes(block_keys(feats)))
     own = [c for c in feats.columns if c != "project"]
-    left = rows.select("project", "block", *[F.col(c).alias(f"a_{c}") for c in own])
-    right = rows.select("project", "block", *[F.col(c).alias(f"b_{c}") for c in own])
     a, b = Side("a"), Side("b")
-    return (left.hint("merge").join(right, ["project", "block"])
-            .filter((a["id"] < b["id"]) & eligible(a, b)).drop("block"))
+
+    def met(rows, keys, condition):
+        # both sides read the same columns, so Spark shuffles the rows once
+        left = rows.select("project", *[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(c).alias(f"a_{c}") for c in own])
+        right = rows.select("project", *[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(c).alias(f"b_{c}") for c in own])
+        on = ["project", *[f"k_{c}" for c in keys]]
+        return left.hint("merge").join(right, on).filter((a["id"] < b["id"]) & condition & eligible(a, b)).drop(*on[1:])
+
+    across = met(rows.filter("scope = ''"), ["block"], F.lit(True))
+    within = met(rows, ["file", "block"], (a["scope"] != "") | (b["scope"] != ""))
+    return across.unionByName(within)
 
 
 class Side:
@@ -227,10 +247,6 @@ def shared_reference(a: Side, b: Side) -> Column:
     return F.size(F.array_except(common, F.array(a["name"], b["name"]))) > 0
 
 
-def jaccard(ta: Column, tb: Column) -> Column:
-    return F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
-
-
 def meaningful(shared: Column) -> Column:
     return F.size(F.array_except(shared, X.words(vocab.GENERIC_TOKENS))) > 0
 
@@ -375,7 +391,7 @@ def ignore_per_project(feats: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: DataFrame | None = None,
-                 ignored: DataFrame | None = None, max_bucket: int = 200) -> DataFrame:
+                 ignored: DataFrame | None = None, max_bucket: int | None = None) -> DataFrame:
     """All scored pairs of every project, before verdicts.
 
     settings: apply to all projects; ignored: (project, name) rows on top of
@@ -383,7 +399,6 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
     # four steps below read the features: they are computed once and staged
     live = stage(live_features(registry, settings), "features")
     base = live.filter("linkable").drop("linkable")
-    sizes = block_sizes(block_keys(base))
     feats = with_references(base, live)
     if ignored is not None:
         feats = ignore_per_project(feats, ignored)
@@ -392,7 +407,7 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
     else:
         feats = feats.withColumn("unit", F.lit(None).cast("string"))
     a, b = Side("a"), Side("b")
-    pairs = score(blocked_pairs(feats, sizes, max_bucket)).select(
+    pairs = score(blocked_pairs(feats, max_bucket)).select(
         "project", a["id"].alias("id_a"), b["id"].alias("id_b"),
         # both sides spelled the usual way: their tidied ids, in order
         F.when(a["key_id"].isNotNull() & b["key_id"].isNotNull(), F.concat(
@@ -408,10 +423,11 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
 # ------------------------------------------------------- verdicts and rules
 
 def join_reviews(pairs: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Left join of the verdict on the normalised pair key."""
-    verdicts = reviews.select(
-        "project", N.normalize_pair_key(F.col("pair_key")).alias("pair_key"),
-        F.struct("verdict", "note", "ts", F.lit(False).alias("learned")).alias("review"))
+    """Left join of the newest verdict on the normalised pair key: one row per pair."""
+    newest = latest(reviews.withColumn("pair_key", N.normalize_pair_key(F.col("pair_key"))), ["project", "pair_key"],
+                    ["ts", "verdict", "note"])
+    verdicts = newest.select(
+        "project", "pair_key", F.struct("verdict", "note", "ts", F.lit(False).alias("learned")).alias("review"))
     return pairs.join(verdicts, ["project", "pair_key"], "left")
 
 
@@ -439,10 +455,11 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
                                     F.lit(" pair — this name repeats legitimately"))))
         quiet = F.struct(F.lit("not_duplicate").alias("verdict"), note.alias("note"),
                          F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("learned"))
-        df = (df.withColumn("rule", F.when(F.col("review").isNull(), _rule_key()))
-              .join(rules.withColumn("_hit", F.lit(True)), ["project", "rule"], "left")
-              .withColumn("review", F.when(F.col("_hit"), quiet).otherwise(F.col("review")))
-              .drop("rule", "_hit"))
+        # pairs that no rule can match keep out of the join, where they would all share one key
+        df = df.withColumn("rule", F.when(F.col("review").isNull(), _rule_key()))
+        asked = (df.filter("rule is not null").join(rules.withColumn("_hit", F.lit(True)), ["project", "rule"], "left")
+                 .withColumn("review", F.when(F.col("_hit"), quiet).otherwise(F.col("review"))).drop("_hit"))
+        df = asked.unionByName(df.filter("rule is null")).drop("rule")
     if not include_dismissed:
         df = df.filter(F.coalesce(F.col("review.verdict"), F.lit("")) != "not_duplicate")
     return df
@@ -451,7 +468,7 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
 def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
                     include_dismissed: bool = False, settings: dict | None = None,
                     units: DataFrame | None = None, paths: DataFrame | None = None,
-                    ignored: DataFrame | None = None, max_bucket: int = 200) -> DataFrame:
+                    ignored: DataFrame | None = None, max_bucket: int | None = None) -> DataFrame:
     """Suspect pairs with verdicts and learned rules applied.
 
     paths: all file paths (project, path), used to detect standalone units when

@@ -27,9 +27,9 @@ def number_rows(df: DataFrame, group: list[str], order: list[str], name: str = "
 def page(df: DataFrame, order: list, page: int = 1, size: int = 50) -> DataFrame:
     """One page of an ordered list, with total, page, size and pages columns.
 
-    Page and size are clamped (size to 1..500, page to the last page)."""
+    Page and size are clamped (size to 1 at least, page to the last page)."""
     total = df.count()
-    size = min(500, max(1, size))
+    size = max(1, size)
     pages = max(1, -(-total // size))
     page = min(max(1, page), pages)
     rows = df.orderBy(*order).offset((page - 1) * size).limit(size)

@@ -68,10 +68,9 @@ def report_pairs(pairs: DataFrame, top: int = 400) -> DataFrame:
     return top_per_group(pairs, ["project"], [F.desc("score_int"), F.col("pair_key")], top)
 
 
-def var_level(pairs: DataFrame, top: int = 400) -> DataFrame:
-    """Highest level of each variable over its project's best non-dismissed pairs."""
-    best = report_pairs(pairs, top).filter(~dismissed())
-    ends = best.select("project", F.explode(F.array("id_a", "id_b")).alias("id"),
+def var_level(pairs: DataFrame) -> DataFrame:
+    """Highest level of each variable over its non-dismissed pairs."""
+    ends = pairs.filter(~dismissed()).select("project", F.explode(F.array("id_a", "id_b")).alias("id"),
                        level_rank(F.col("level")).alias("rank"))
     rank = F.max("rank")
     return ends.groupBy("project", "id").agg(
@@ -300,7 +299,7 @@ def report(registry: DataFrame, pairs: DataFrame, top: int = 400) -> dict[str, D
         "level_counts": level_counts(pairs),
         "review_counts": review_counts(pairs),
         "counts": origin_status_counts(registry),
-        "var_level": var_level(pairs, top),
+        "var_level": var_level(pairs),
     }
 
 
@@ -310,27 +309,29 @@ RECALL_KEEP = {"drifted": 10, "missing": 10, "file_deleted": 5}
 
 
 def recent_pool(registry: DataFrame, limit: int = 25) -> DataFrame:
-    """Active rows worth recalling: of the newest 8*limit, module level first."""
+    """Active rows worth recalling: module level first, then the newest."""
     newest = [F.desc_nulls_last("last_written_at"), *[F.col(c) for c in KEY]]
-    pool = top_per_group(registry.filter("status = 'active'"), ["project"], newest, limit * 8)
-    pool = pool.filter((F.col("scope") == "") | (F.length("name") > 1))
+    pool = registry.filter("status = 'active'").filter((F.col("scope") == "") | (F.length("name") > 1))
     return top_per_group(pool, ["project"], [N.scope_depth(F.col("scope")), *newest], limit)
 
 
-def recall(registry: DataFrame, pairs: DataFrame | None = None, limit: int = 25, max_chars: int = 6000) -> DataFrame:
+def recall(registry: DataFrame, pairs: DataFrame | None = None, limit: int = 25, max_chars: int = 6000,
+           keep: dict[str, int] | None = None) -> DataFrame:
     """One text block per project: what a new session should know.
 
-    Every section is a bounded top-k, so a project's lines fit one group."""
+    Every section is a bounded top-k (`keep` by status, `limit` recent rows), so
+    a project's lines fit one group; a cut text says how much it leaves out."""
+    keep = keep or RECALL_KEEP
     newest = [F.desc_nulls_last("last_written_at"), *[F.col(c) for c in KEY]]
     line = F.coalesce(F.when(F.col("repo_line") != 0, F.col("repo_line")), F.col("line")).cast("string")
     scope = F.when(F.col("scope") != "", F.concat(F.lit(" ["), F.col("scope"), F.lit("]"))).otherwise("")
     shown = F.concat(F.lit("- `"), F.col("name"), F.lit("`"), scope, F.lit(" = `"),
                      F.coalesce("value_preview", F.lit("")), F.lit("` ("), F.col("file"), F.lit(":"),
                      F.coalesce(line, F.lit("")), F.lit(")"))
-    gone = registry.filter(F.col("status").isin(list(RECALL_KEEP)))
-    cap = F.create_map(*[F.lit(x) for kv in RECALL_KEEP.items() for x in kv])
+    gone = registry.filter(F.col("status").isin(list(keep)))
+    cap = F.create_map(*[F.lit(x) for kv in keep.items() for x in kv])
     top = top_per_group(gone.withColumn("_cap", cap[F.col("status")]), ["project", "status"], newest,
-                        max(RECALL_KEEP.values()))
+                        max(keep.values()))
     from pyspark.sql import Window
     place = F.row_number().over(Window.partitionBy("project", "status").orderBy(*newest))
     top = top.withColumn("ord", place).filter("ord <= _cap")
@@ -354,9 +355,8 @@ def recall(registry: DataFrame, pairs: DataFrame | None = None, limit: int = 25,
                         "total", "files", "sessions", by_status)).alias("text"))
     parts = head.unionByName(top.select("project", number.alias("section"), "ord", text.alias("text"))).unionByName(recent)
     if pairs is not None:
-        small = s.filter("total <= 3000").select("project")
         n = {lv: F.count_if(F.col("level") == lv).alias(lv) for lv in LEVELS}
-        summary = pairs.join(small, "project", "left_semi").groupBy("project").agg(*n.values()).select(
+        summary = pairs.groupBy("project").agg(*n.values()).select(
             "project", F.lit(1).alias("section"), F.lit(0).alias("ord"), F.format_string(
                 "Duplicate-variable suspects: %d high, %d medium, %d low — check them before "
                 "introducing a new variable for an existing concept.", *LEVELS).alias("text"))
@@ -370,5 +370,6 @@ def recall(registry: DataFrame, pairs: DataFrame | None = None, limit: int = 25,
     parts = parts.withColumn("text", F.when(first, F.concat(titles[F.col("section")], F.col("text"))).otherwise(F.col("text")))
     lines = F.array_sort(F.collect_list(F.struct("section", "ord", "text")))
     whole = parts.groupBy("project").agg(F.array_join(F.transform(lines, lambda t: t["text"]), "\n").alias("text"))
-    cut = F.concat(F.substring("text", 1, max_chars - 15), F.lit("\n…(truncated)"))
+    kept = max_chars - 40
+    cut = F.concat(F.substring("text", 1, kept), F.format_string("\n…(%d characters left out)", F.length("text") - kept))
     return whole.withColumn("text", F.when(F.length("text") > max_chars, cut).otherwise(F.col("text")))

@@ -145,7 +145,28 @@ def test_settings(spark, registry):
     assert units.count() == 0
 
 
-def test_oversized_blocks_link_nothing_and_small_ones_stay_whole(spark):
+def test_blocks_of_any_size_link_whole(spark):
+    """260 rows share one name: all pairs of different files; the scoped ones only meet in their own file."""
+    trees = {"big": {f"d{i}/f.py": f'GATE_CODE = "v{i:04d}"\ndef go():\n    GATE_CODE = "w"\n' for i in range(260)}}
+    reg = stage(baseline(corpus_of(spark, trees), "2024-01-01"), "big")
+    pairs = L.scored_pairs(reg)
+    assert pairs.filter("a.scope = '' and b.scope = ''").count() == 260 * 259 // 2
+    assert pairs.filter("a.file <> b.file and (a.scope <> '' or b.scope <> '')").count() == 0
+    sizes = L.block_sizes(L.block_keys(L.features(reg)))
+    assert {r.block for r in L.unlinked_blocks(sizes, 200).collect()} == {"n:gatecode", "t:gate", "t:code"}
+    assert L.scored_pairs(reg, max_bucket=200).count() == 0
+
+
+def test_a_pair_has_one_verdict_however_its_key_is_spelled(spark, pairs):
+    r = next(r for p, _, _, _, r in pairs if p == "titles")
+    twice = spark.createDataFrame(
+        [("titles", f"{r.id_a}||{r.id_b}", "duplicate", None, None), ("titles", f"{r.id_b}||{r.id_a}", "not_duplicate", None, None)],
+        REVIEWS).withColumn("ts", F.when(F.col("verdict") == "duplicate", F.lit("2024-01-01")).otherwise(F.lit("2024-01-02")).cast("timestamp"))
+    one = spark.createDataFrame([("titles", f"{r.id_a}||{r.id_b}")], "project string, pair_key string")
+    assert [x.review.verdict for x in L.join_reviews(one, twice).collect()] == ["not_duplicate"]
+
+
+def test_a_given_bound_leaves_out_large_blocks_alone(spark):
     trees = {"hot": {f"d{i}/f.py": f'HOT_TOKEN = "v{i:04d}"\nrare_{i // 2}_pair = {i}\n' for i in range(60)}}
     reg = stage(baseline(corpus_of(spark, trees), "2024-01-01"), "hot")
     blocks = L.block_keys(L.features(reg))

@@ -53,7 +53,7 @@ def test_registry_and_review_files(spark, tmp_path):
     got = T.read_reviews(spark, str(tmp_path / "reviews/*")).collect()
     assert [(r.project, r.pair_key, r.verdict) for r in got] == [("p", "a.py||A||b.py||B", "duplicate")]
     md = {r.value for r in T.export(reg.filter("name = 'A' and project = 'p'"), "md").collect()}
-    assert md == {"| `A` |  | `'one\\|two'` | active | a.py:1 | scan |"}
+    assert md == {*T.MD_HEADER, "| `A` |  | `'one\\|two'` | active | a.py:1 | scan |"}
 
 
 def test_number_rows_spreads_and_counts(spark):
@@ -100,3 +100,20 @@ def test_task_functions_travel_with_the_job():
     from pyspark.cloudpickle import cloudpickle
 
     assert "bindery" in cloudpickle.list_registry_pickle_by_value()
+
+
+def test_an_emptied_project_loses_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "a.py", "A = 1\n"), ("q r", "b.py", "B = 1\n"), ("s", "c.py", "C = 1\n")],
+                                 "project string, path string, content string")
+    reg, path = baseline(rows, "2024-01-01"), str(tmp_path / "r")
+    T.write_registry(reg, path)
+    touched = spark.createDataFrame([("p",), ("q r",)], "project string")
+    T.write_registry(baseline(rows.filter("project = 'p'"), "2024-01-02"), path, touched)
+    assert {r.project for r in T.read_registry(spark, path).collect()} == {"p", "s"}
+
+
+def test_microseconds_survive_the_event_log(spark, tmp_path):
+    events = spark.createDataFrame([("p", "s", "a")], "project string, session_id string, action string").selectExpr(
+        "project", "timestamp '2024-05-06 07:08:09.123456' ts", "session_id", "action", "'n' name", "'f' file", "'' scope", "'' detail")
+    T.append_events(events, str(tmp_path / "e"))
+    assert T.read_events(spark, str(tmp_path / "e")).first().ts.microsecond == 123456
