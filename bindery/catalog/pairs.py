@@ -8,6 +8,7 @@ from ..functions import vocab
 from ..operators import linkage as L
 from ..plans import reports as G
 from ..plans import views as H
+from ..sources import tables as T
 from ..staging import stage
 from . import derive as D
 
@@ -271,6 +272,18 @@ def visible_pairs(spark, sf):
     return _as_judged(judged(spark, sf, False)[1])
 
 
+def pairs_by_settings(spark, sf):
+    """Some projects ignore names, some have a unit per top directory, some do not learn from verdicts."""
+    r, _, reviews = _with_reviews(spark, sf)
+    names = (r.filter("origin = 'scan' and lang = 'powershell' and project like '%1'").groupBy("project")
+             .agg(F.to_json(F.collect_set("name")).alias("value")).withColumn("key", F.lit("dup_ignore_names")))
+    projects = r.select("project").distinct()
+    units = projects.filter("project like '%2'").selectExpr("project", "'standalone_units' as key", "'[\"*\"]' as value")
+    off = projects.filter("project like '%3'").selectExpr("project", "'learn_from_reviews' as key", "'false' as value")
+    settings = T.project_settings(projects, names.unionByName(units).unionByName(off))
+    return _as_judged(L.find_duplicates_by_settings(r, settings, reviews, include_dismissed=True))
+
+
 def learned_rules(spark, sf):
     _, pairs, reviews = _with_reviews(spark, sf)
     return L.learn(L.join_reviews(pairs, reviews))
@@ -409,6 +422,19 @@ _UNIT = ("WITH " + D.ASSIGNMENTS + ", " + FEATURES + ", " + ELIGIBLE.replace(
     "WHERE NOT (a.lang = 'env'", "WHERE split_part(a.file, '/', 1) = split_part(b.file, '/', 1) AND NOT (a.lang = 'env'") + ", " + SCORED)
 
 
+# verdicts are those on the pairs that are scored without settings
+_PLAIN = (WITH_SCORED + ", " + REVIEWED.split("ruled AS")[0].rstrip().rstrip(",") + " SELECT project, pair_key, verdict FROM reviews")
+_BY_SETTINGS = ("WITH plain AS (" + _PLAIN + "), " + D.ASSIGNMENTS + ", " + FEATURES + """,
+listed AS (SELECT DISTINCT project AS p, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS n FROM registry
+  WHERE origin = 'scan' AND lang = 'powershell' AND project LIKE '%1')""" + ", " + ELIGIBLE.replace(
+    "WHERE NOT (a.lang = 'env'", """WHERE (a.project NOT LIKE '%2' OR split_part(a.file, '/', 1) = split_part(b.file, '/', 1))
+    AND NOT (a.lang = 'env'""") + ", " + SCORED.replace(
+    "AS ia,", "OR (a.project, a.norm) IN (SELECT (p, n) FROM listed) AS ia,").replace(
+    "AS ib,", "OR (b.project, b.norm) IN (SELECT (p, n) FROM listed) AS ib,") + ", reviews AS (SELECT * FROM plain), ruled AS"
+    + REVIEWED.split("ruled AS")[1].replace("WHERE human = 'not_duplicate'", "WHERE project NOT LIKE '%3' AND human = 'not_duplicate'")
+    + " SELECT project, pair_key, score_int, reason, verdict, learned FROM judged")
+
+
 def _count_if(cond: str, name: str) -> str:
     return f"count(*) FILTER (WHERE {cond}) AS {name}"
 
@@ -457,6 +483,7 @@ QUERIES = {
     "f14_join_reviews": (reviewed_pairs, WITH_REVIEWED + " SELECT project, pair_key, human AS verdict FROM ruled"),
     "f15_f16_learned_rules": (learned_rules, WITH_REVIEWED + " SELECT project, rule FROM rules"),
     "f17_apply_learned": (learned_pairs, WITH_REVIEWED + " SELECT project, pair_key, score_int, reason, verdict, learned FROM judged"),
+    "f17_pairs_by_settings": (pairs_by_settings, _BY_SETTINGS),
     "f17_visible_pairs": (visible_pairs, WITH_REVIEWED + " SELECT project, pair_key, score_int, reason, verdict, learned FROM open_pairs"),
     "f20_pair_sides": (pair_sides, WITH_SCORED + " SELECT project, pair_key, " + ", ".join(
         f"{s}.{c} AS {s}_{n}" for s in "ab" for n, c in (

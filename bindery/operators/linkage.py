@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab
+from ..schema import REVIEWS
 from ..staging import stage
 from .latest import latest
 
@@ -491,6 +492,30 @@ def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
     return apply_learned(reviewed, learn(reviewed), include_dismissed)
 
 
+def _listed(settings: DataFrame, key: str, name: str) -> DataFrame:
+    """(project, name) rows of a setting that holds a JSON list."""
+    values = F.from_json("value", "array<string>")
+    return settings.filter(F.col("key") == key).select("project", F.explode(values).alias(name)).distinct()
+
+
+def find_duplicates_by_settings(registry: DataFrame, settings: DataFrame, reviews: DataFrame | None = None,
+                                paths: DataFrame | None = None, include_dismissed: bool = False) -> DataFrame:
+    """`find_duplicates` where every project has its own ignore list, standalone units and learn toggle.
+
+    settings: (project, key, value as JSON) as `project_settings` makes them."""
+    units = _listed(settings, "standalone_units", "pattern")
+    if paths is not None:
+        detects = settings.filter("key = 'auto_standalone_units' and value = 'true'").select("project").join(
+            units.select("project").distinct(), "project", "left_anti")
+        units = units.unionByName(auto_unit_patterns(paths).join(detects, "project", "left_semi"))
+    pairs = scored_pairs(registry, units=units, ignored=_listed(settings, "dup_ignore_names", "name"))
+    if reviews is None:
+        reviews = registry.sparkSession.createDataFrame([], REVIEWS)
+    reviewed = stage(join_reviews(pairs, reviews), "reviewed-pairs")
+    learns = settings.filter("key = 'learn_from_reviews' and value = 'true'").select("project")
+    return apply_learned(reviewed, learn(reviewed).join(learns, "project", "left_semi"), include_dismissed)
+
+
 def min_level(pairs: DataFrame, floor: str) -> DataFrame:
     return pairs.filter(level_rank(F.col("level")) >= vocab.LEVEL_RANK[floor])
 

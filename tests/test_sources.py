@@ -38,6 +38,17 @@ def test_corpus_scan_prunes_and_decodes(spark, tmp_path):
     assert left.filter("project = 'my repo'").count() == 4
 
 
+def test_own_ignore_files_prune_their_trees(spark, tmp_path):
+    tree(tmp_path / "one", {".gitignore": "# made\n/gen/\ntmp\n*.log\n!keep\n", "gen/a.py": "A = 1", "src/gen/b.py": "B = 1",
+                            "src/deep/er/tmp/c.py": "C = 1", "src/deep/er/d.py": "D = 1", ".env": "E=1"})
+    tree(tmp_path / "two", {"gen/a.py": "A = 1", "tmp/.env": "E=1", "sub/.gitignore": "x\n", "sub/x/y.py": "Y = 1"})
+    roots = [str(tmp_path / "one"), str(tmp_path / "two")]
+    got = {(r.project, r.path) for r in C.corpus_scan(spark, roots).collect()}
+    assert got == {("one", "src/deep/er/d.py"), ("one", ".env"), ("two", "gen/a.py"),
+                   ("two", "tmp/.env"), ("two", "sub/x/y.py")}
+    assert C.corpus_scan(spark, roots, own_rules=False).count() == 8
+
+
 def test_registry_and_review_files(spark, tmp_path):
     corpus = spark.createDataFrame([("p", "a.py", "A = 'one|two'\nB = 2\n"), ("q", "a.py", "A = 1\n")],
                                    "project string, path string, content string")
