@@ -95,8 +95,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = prints.join(linked, "bits")
     roots = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(roots, "root").select("bits", "component_id")
-    prints = prints.join(named, "bits", "left").select(
-        "bits", F.coalesce("component_id", "first_id").alias("component_id"))
+    # a table of its own, so that the join below can split the fingerprint of many copies
+    prints = stage(prints.join(named, "bits", "left").select(
+        "bits", F.coalesce("component_id", "first_id").alias("component_id")), "simhash-named")
     return marked.join(prints, "bits").select(
         id_col, F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
