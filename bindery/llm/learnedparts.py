@@ -204,8 +204,8 @@ def placed(rows: DataFrame, router: Router, share: float | None) -> DataFrame:
 
 
 def _nearest(key, asked: pa.Table, stored: pa.Table) -> pa.Table:
-    names = ["min_id", "digest", "ids", "score"]
-    out = {n: [] for n in names}
+    kind = pa.schema([("min_id", pa.int64()), ("digest", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
+    columns = [[], [], [], []]
     if len(asked) and len(stored):
         a, b = matrix(asked.column("vector")), matrix(stored.column("vector"))
         near = a @ b.T
@@ -213,14 +213,11 @@ def _nearest(key, asked: pa.Table, stored: pa.Table) -> pa.Table:
         least = np.partition(near, -k, axis=1)[:, -k] - 1e-12
         query, row = np.nonzero(near >= least[:, None])
         # the same sum for every pair, whatever block it stands in
-        exact = np.array([(a[query[i:i + 4096]] * b[row[i:i + 4096]]).sum(axis=1) for i in range(0, len(query), 4096)],
-                         object)
-        exact = np.concatenate([np.asarray(e, float) for e in exact])
-        out = {"min_id": asked.column("min_id").take(pa.array(query)), "digest": asked.column("digest").take(pa.array(query)),
-               "ids": stored.column("ids").take(pa.array(row)), "score": pa.array(np.clip(exact, -1, 1))}
-    return pa.table({"min_id": out["min_id"], "digest": out["digest"], "ids": out["ids"], "score": out["score"]},
-                    schema=pa.schema([("min_id", pa.int64()), ("digest", pa.int64()), ("ids", pa.list_(pa.int64())),
-                                      ("score", pa.float64())]))
+        exact = np.concatenate([(a[query[i:i + 4096]] * b[row[i:i + 4096]]).sum(axis=1)
+                                for i in range(0, len(query), 4096)])
+        columns = [asked.column("min_id").take(pa.array(query)), asked.column("digest").take(pa.array(query)),
+                   stored.column("ids").take(pa.array(row)), np.clip(exact, -1, 1)]
+    return pa.table(columns, schema=kind)
 
 
 def classes(rows: DataFrame) -> DataFrame:
