@@ -8,14 +8,14 @@ let a look-up skip stripes and row groups.  `layout` gives each file's first
 position from the narrow columns alone.
 
 Texts are encoded by the tokenizers library.  It never lets a token span white
-space, so pieces between ASCII white space are encoded once and cached.
+space, nor a letter and an ASCII mark, so such pieces are encoded once and cached.
 """
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from ..staging import stage_dir
 from .common import byte_view, row_slices, table, worker_state
+from .wordscan import Powers
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-#: distinct pieces, and ids of all of them, that a Python worker keeps
-CACHE, CACHE_IDS = 600_000, 12_000_000
+#: distinct pieces, and ids of all of them, that a Python worker keeps; one slice of texts may exceed them
+CACHE, CACHE_IDS = 400_000, 6_000_000
 #: ASCII marks but the apostrophe
 MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 ORC = {"compression": "zstd", "orc.stripe.size": str(16 << 20), "orc.row.index.stride": "1000",
@@ -41,6 +42,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: texts that the library may cut elsewhere than between ASCII or Latin-1 letters and other ASCII: apostrophes,
+#: possible special strings, characters that are not ASCII nor Latin-1 letters
+_UNSURE = re.compile(rb"['\xc2\xc4-\xff]|<\||\xc3[\x97\xb7]")
+#: kinds of bytes: white space, letters, others
+KIND = np.full(256, 2, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[97:123] = KIND[65:91] = KIND[128:] = 1
+_rng = np.random.default_rng(29)
+_BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93]
+_WEIGHTS = [(_rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)) * (KIND > 0) for _ in _BASES]
+
+
+def sure(text: bytes) -> bool:
+    return not (b"'" in text or b"<|" in text if text.isascii() else _UNSURE.search(text))
+
+
 def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
 
@@ -50,8 +67,54 @@ def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
 
 
+class PieceTable:
+    """Numbers of pieces by their 128-bit hashes, looked up for whole arrays (open addressing, at most half full)."""
+
+    def __init__(self):
+        self.keep(0)
+
+    def keep(self, number: int | None = None) -> None:
+        """Starts anew with the first pieces, None for all, and room for as many again."""
+        keys = self.keys[:, :number] if number != 0 else np.zeros((2, 0), np.uint64)
+        self.bits = max(12, (4 * keys.shape[1]).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        self.keys = keys[:, :0]
+        self.add(keys)
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 for unknown ones."""
+        out = np.full(keys.shape[1], -1, np.int64)
+        todo, at = np.arange(keys.shape[1]), self.home(keys)
+        while len(todo):
+            found = self.place[at]
+            here = found >= 0
+            todo, at, found = todo[here], at[here], found[here]
+            same = (self.keys[0][found] == keys[0][todo]) & (self.keys[1][found] == keys[1][todo])
+            out[todo[same]] = found[same]
+            todo, at = todo[~same], (at[~same] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Numbers new, distinct pieces from where the table ends."""
+        if 2 * (self.keys.shape[1] + keys.shape[1]) > 1 << self.bits:
+            self.keys = np.concatenate([self.keys, keys], axis=1)
+            return self.keep()
+        number = self.keys.shape[1] + np.arange(keys.shape[1], dtype=np.int32)
+        self.keys = np.concatenate([self.keys, keys], axis=1)
+        at = self.home(keys)
+        while len(number):
+            free = self.place[at] < 0
+            self.place[at[free]] = number[free]
+            won = self.place[at] == number
+            number, at = number[~won], (at[~won] + 1) & self.mask
+
+
 class Encoder:
-    """Token ids of texts through a bounded cache of white-space separated pieces."""
+    """Token ids of texts through a bounded cache of pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,18 +128,19 @@ class Encoder:
         #: whether an id ends a word, where the vocabulary marks that
         self.ends = np.zeros(self.library.get_vocab_size(), bool)
         self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        self.slot: dict[bytes, int] = {}
+        self.powers = [Powers(base) for base in _BASES]
+        self.table = PieceTable()
         self.ids = np.zeros(0, np.int32)
         self.start = self.size = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Drops the pieces that came last; frequent ones mostly come early."""
-        kept = min(len(self.slot), CACHE) // 2
-        self.slot = dict(islice(self.slot.items(), kept))
+        kept = min(len(self.size), CACHE) // 2
+        if self.size[:kept].sum() > CACHE_IDS // 2:
+            kept = 0
+        self.table.keep(kept)
         self.start, self.size = self.start[:kept].copy(), self.size[:kept].copy()
         self.ids = self.ids[:int(self.size.sum())].copy()
-        if len(self.ids) > CACHE_IDS // 2:
-            self.slot, self.ids, self.start, self.size = {}, self.ids[:0], self.start[:0], self.size[:0]
 
     @staticmethod
     def coded(library, texts: list[str]) -> list[list[int]]:
@@ -120,22 +184,43 @@ class Encoder:
         run_size = size[run]
         fresh = ids[spans(start[run].ravel(), run_size.ravel())]
         size = run_size.sum(axis=1)
-        self.slot.update(zip(pieces, range(len(self.slot), len(self.slot) + len(pieces))))
         self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
         self.ids = np.r_[self.ids, fresh]
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each text's number of ids), `end` after each text."""
-        pieces = [t.split() for t in texts]
-        new = set().union(*pieces).difference(self.slot)
-        if len(self.slot) + len(new) > CACHE or len(self.ids) > CACHE_IDS:
+        """(ids of all texts, each text's number of ids), `end` after each text.
+
+        Pieces are runs of letters or of other characters where the library is
+        sure to cut between those, else what stands between ASCII white space.
+        """
+        known = np.array([sure(t) for t in texts], bool)
+        blob = b"\n".join([t.lower() if k else t for t, k in zip(texts, known)]) + b"\n"
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        data = np.frombuffer(blob, np.uint8)
+        kind = KIND[data]
+        if not known.all():
+            kind[np.repeat(~known, np.diff(first)) & (kind == 2)] = 1
+        change = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        start = np.r_[0, change] if kind[0] else change
+        start = start[kind[start] > 0]
+        stop = change[kind[change - 1] > 0]
+        count = np.diff(np.searchsorted(start, first))
+        if not len(start):
+            return np.full(len(texts), end, np.int32), np.ones(len(texts), np.int64)
+        keys = np.array([np.add.reduceat(w[data] * p.reach(len(data))[0][:len(data)], start) * p.down[start]
+                         for w, p in zip(_WEIGHTS, self.powers)])
+        if len(self.size) > CACHE or len(self.ids) > CACHE_IDS:
             self.forget()
-            new = set().union(*pieces).difference(self.slot)
-        if new:
-            self.learn(list(new))
-        count = np.array([len(p) for p in pieces], np.int64)
-        slot = np.fromiter(map(self.slot.__getitem__, chain.from_iterable(pieces)), np.int64, count.sum())
+        slot = self.table.find(keys)
+        # once, unless two new pieces share half of their hash
+        while (slot < 0).any():
+            new = np.flatnonzero(slot < 0)
+            _, one = np.unique(keys[0][new], return_index=True)
+            one = new[one]
+            self.learn([blob[a:b] for a, b in zip(start[one].tolist(), stop[one].tolist())])
+            self.table.add(keys[:, one])
+            slot[new] = self.table.find(keys[:, new])
         size = self.size[slot]
         text_of = np.repeat(np.arange(len(texts)), count)
         total = np.bincount(text_of, size, minlength=len(texts)).astype(np.int64) + 1
@@ -153,7 +238,7 @@ def _encode(path: str, end: int, names: list[str]):
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             data = memoryview(data)
-            for low, high in row_slices(offsets, rows=4096):
+            for low, high in row_slices(offsets, 1 << 19, rows=4096):
                 ids, size = encoder([bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])], end)
                 start = np.cumsum(size) - size
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), ids)

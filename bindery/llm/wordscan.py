@@ -9,24 +9,25 @@ LOWER[65:91] += 32
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[65:91] = IS_WORD[128:] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
 #: a fixed odd weight of each lower-cased byte
 WEIGHTS = (np.random.default_rng(13).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1))[LOWER]
 WEIGHTS[~IS_WORD] = 0
 
 
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as asked for."""
+    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
 
-    def __init__(self):
+    def __init__(self, base: int = _BASE):
+        self.bases = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
         self.up = self.down = np.ones(1, np.uint64)
 
-    def reach(self, n: int) -> None:
+    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            n = max(n, 1 << 21)
+            n = 1 << (n - 1).bit_length()
             self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)], dtype=np.uint64)
-                                  for b in (_BASE, _BACK))
+                                  for b in self.bases)
+        return self.up, self.down
 
 
 class Words:
