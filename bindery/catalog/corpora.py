@@ -271,18 +271,41 @@ def analyze(spark, sf):
     return found["counts"].unionByName(found["languages"].select("project", F.col("lang").alias("level"), F.col("rows").alias("pairs")))
 
 
-def session_start(spark, sf):
-    """Registry of env files against a corpus where some files changed."""
+def _started(spark, sf):
+    """A registry of env files and a later corpus: some files gone, some changed, some as they were."""
     n = F.col("p_partkey")
     p = D.table(spark, sf, "part").select(F.col("p_brand").alias("project"), F.format_string("ops/%d.env", n).alias("path"),
                                           F.concat(F.lit("V=1\nW="), n.cast("string")).alias("content"), n.alias("k"))
     registry = A.baseline(p, "2024-01-01")
     later = p.filter("k % 7 <> 0").withColumn("content", F.when(F.col("k") % 3 == 0, "V=2\n").otherwise(F.col("content"))).withColumn(
         "modificationTime", F.when(F.col("k") % 2 == 0, F.lit("2024-02-01").cast("timestamp")).otherwise(F.lit("2023-01-01").cast("timestamp")))
-    out = A.session_start(registry, later, "2024-03-01")
+    return registry, later
+
+
+def session_start(spark, sf):
+    out = A.session_start(*_started(spark, sf), "2024-03-01")["registry"]
     return out.select("project", "file", "name", "status", "repo_value_preview")
 
 
+def session_events(spark, sf):
+    out = A.session_start(*_started(spark, sf), "2024-03-01", session="s9")
+    return out["events"].select("project", "session_id", "action", "name", "file")
+
+
+def session_recall(spark, sf):
+    text = A.session_start(*_started(spark, sf), "2024-03-01")["recall"]
+    return text.select("project", F.regexp_extract("text", r"Tracked: (\d+)", 1).alias("tracked"),
+                       F.contains("text", F.lit("(drifted)")).alias("drifted"), F.contains("text", F.lit("(missing)")).alias("missing"))
+
+
+def reconcile_totals_pass(spark, sf):
+    return A.reconcile_pass(*_started(spark, sf), "2024-03-01")["totals"]
+
+
+def scan_counts_pass(spark, sf):
+    return A.scan_pass(*_started(spark, sf), "2024-03-01")["counts"]
+
+
 SESSION_START = """WITH p AS (SELECT p_brand AS project, p_partkey AS k FROM part),
 f AS (SELECT *, 'ops/' || k::varchar || '.env' AS file FROM p),
 o AS (SELECT *, true AS checked FROM f),
@@ -415,6 +438,20 @@ QUERIES = {
     "g21_supported_languages": (languages, f"""{REG}, e AS (SELECT DISTINCT regexp_extract(file, '(\\.[^./]*)$', 1) AS ext, lang FROM assignments)
         SELECT lang, string_agg(ext, ' ' ORDER BY ext) AS extensions FROM e GROUP BY lang"""),
     "j4_session_start": (session_start, SESSION_START),
+    "j4_session_events": (session_events, """WITH f AS (SELECT p_brand AS project, p_partkey AS k, 'ops/' || p_partkey::varchar || '.env' AS file FROM part)
+        SELECT project, 's9' AS session_id, 'file_deleted' AS action, unnest(['V', 'W']) AS name, file FROM f WHERE k % 7 = 0
+        UNION ALL SELECT project, 's9', unnest(['drifted', 'went_missing']), unnest(['V', 'W']), file FROM f WHERE k % 6 = 0 AND k % 7 <> 0"""),
+    "j4_session_recall": (session_recall, """SELECT p_brand AS project, (2 * count(*))::varchar AS tracked,
+        bool_or(p_partkey % 6 = 0 AND p_partkey % 7 <> 0) AS drifted, bool_or(p_partkey % 6 = 0 AND p_partkey % 7 <> 0) AS missing FROM part GROUP BY p_brand"""),
+    "e14_reconcile_pass": (reconcile_totals_pass, """WITH f AS (SELECT p_brand AS project, p_partkey AS k FROM part)
+        SELECT project, count(*) AS files, 2 * count(*) FILTER (WHERE k % 7 <> 0 AND k % 2 = 0) AS checked,
+          2 * count(*) FILTER (WHERE k % 7 <> 0 AND k % 2 = 0 AND k % 3 <> 0) AS active, count(*) FILTER (WHERE k % 7 <> 0 AND k % 6 = 0) AS drifted,
+          count(*) FILTER (WHERE k % 7 <> 0 AND k % 6 = 0) AS missing, 2 * count(*) FILTER (WHERE k % 7 = 0) AS file_deleted, 0::bigint AS moved,
+          count(*) FILTER (WHERE k % 7 <> 0 AND k % 2 = 1) AS skipped_files FROM f GROUP BY project"""),
+    "e5_scan_pass": (scan_counts_pass, """WITH f AS (SELECT p_brand AS project, p_partkey AS k FROM part), n AS (
+          SELECT project, 'updated' AS action, sum(CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END)::bigint AS rows FROM f WHERE k % 7 <> 0 GROUP BY project
+          UNION ALL SELECT project, 'pruned', sum(CASE WHEN k % 7 = 0 THEN 2 ELSE 1 END)::bigint FROM f WHERE k % 7 = 0 OR k % 3 = 0 GROUP BY project)
+        SELECT * FROM n"""),
     "i5_match_mounts": (match_mounts, f"WITH {D.REPOS}, {MATCHES} SELECT container, compose, repo_id FROM matches"),
     "i6_suggest_groups": (suggest_groups, f"""WITH {SUGGEST} SELECT coalesce(compose, 'container ' || containers[1]) AS name,
         array_to_string(repo_ids, ',') AS repo_ids, len(containers)::int AS containers, repo_ids IN (SELECT repo_ids FROM grouped) AS already_grouped FROM suggestions"""),

@@ -460,7 +460,8 @@ SELECT project, section, row_number() OVER (PARTITION BY project, section ORDER
   ELSE '### S' || row_number() OVER (PARTITION BY project, section ORDER BY sort_key)::varchar || '. `' || r.name || '`'
     || CASE WHEN r.scope <> '' THEN ' [scope `' || r.scope || '`]' ELSE '' END || ' — drifted (' || r.file || ':' || r.line::varchar || ')'
     || chr(10) || '- AI-written value: `' || r.value || '` (session ' || r.last_session[:8] || ', '
-    || strftime(r.seen, '%Y-%m-%dT%H:%M:%S') || ')' || chr(10) || '- repository holds now: `' || r.now_value || '`' END AS text
+    || strftime(r.seen, '%Y-%m-%dT%H:%M:%S') || ')' || chr(10) || '- repository holds now: `' || r.now_value || '`' || chr(10) || '- if the change is intended, accept name `' || r.name
+      || '` in `' || r.file || '`' || CASE WHEN r.scope <> '' THEN ', scope `' || r.scope || '`' ELSE '' END END AS text
 FROM finding
 """
 

@@ -263,10 +263,14 @@ def finding_text(finding_rows: DataFrame) -> DataFrame:
         side("A", "pair.a"), side("B", "pair.b"), verdict,
         F.concat(F.lit("- verdict key: `"), F.col("pair.pair_key"), F.lit("`")))
     line = F.coalesce(F.when(F.col("row.repo_line") != 0, F.col("row.repo_line")), F.col("row.line"))
+    accept = F.concat(F.lit("- if the change is intended, accept name `"), safe("row.name"), F.lit("` in `"), safe("row.file"), F.lit("`"),
+                      F.when(F.coalesce("row.scope", F.lit("")) != "", F.concat(F.lit(", scope `"), safe("row.scope"), F.lit("`"))).otherwise(""))
     what = (F.when(F.col("row.status") == "drifted",
-                   F.concat(F.lit("- repository holds now: `"), safe("row.repo_value_preview"), F.lit("`")))
-            .when(F.col("row.status") == "missing", "- no longer present in the file")
-            .when(F.col("row.status") == "file_deleted", "- the tracked file no longer exists"))
+                   F.concat_ws("\n", F.concat(F.lit("- repository holds now: `"), safe("row.repo_value_preview"), F.lit("`")), accept))
+            .when(F.col("row.status") == "missing",
+                  "- no longer present in the file: check whether it was renamed, moved or removed on purpose")
+            .when(F.col("row.status") == "file_deleted",
+                  "- the tracked file no longer exists: check that this was meant and that nothing refers to the variable"))
     status = F.concat_ws(
         "\n",
         F.concat(F.lit("### S"), n, F.lit(". `"), safe("row.name"), F.lit("`"), scope("row.scope"), F.lit(" — "),
