@@ -233,7 +233,7 @@ def eligible_pairs(spark, sf):
 
 
 def scored_pairs(spark, sf):
-    return L.scored_pairs(D.registry(spark, sf)).select(
+    return L.scored_pairs(D.registry(spark, sf), sides=False).select(
         "project", "pair_key", "score_int", "level", "reason")
 
 
@@ -244,18 +244,18 @@ def ignored_pairs(spark, sf):
     return L.scored_pairs(r, ignored=names).select("project", "pair_key", "score_int", "reason")
 
 
-def _with_reviews(spark, sf):
+def _with_reviews(spark, sf, sides=False):
     """(registry, scored pairs, reviews), the pairs staged because the reviews
     are derived from them."""
     r = D.registry(spark, sf)
-    pairs = stage(L.scored_pairs(r), "scored")
+    pairs = stage(L.scored_pairs(r, sides=sides), "scored")
     ids = r.select("project", N.row_id(F.col("file"), F.col("scope"), F.col("name")).alias("id"), "seq")
     return r, pairs, D.reviews_of(pairs, ids)
 
 
-def judged(spark, sf, include_dismissed=True):
-    r, pairs, reviews = _with_reviews(spark, sf)
-    reviewed = stage(L.join_reviews(pairs, reviews), "reviewed")
+def judged(spark, sf, include_dismissed=True, sides=False):
+    r, pairs, reviews = _with_reviews(spark, sf, sides)
+    reviewed = L.join_reviews(pairs, reviews)
     return r, L.apply_learned(reviewed, L.learn(reviewed), include_dismissed)
 
 
@@ -301,7 +301,7 @@ def pair_sides(spark, sf):
 
 
 def medium_pairs(spark, sf):
-    return L.min_level(L.scored_pairs(D.registry(spark, sf)), "medium").select("project", "pair_key", "level")
+    return L.min_level(L.scored_pairs(D.registry(spark, sf), sides=False), "medium").select("project", "pair_key", "level")
 
 
 def canonical(spark, sf):
@@ -311,7 +311,7 @@ def canonical(spark, sf):
 
 
 def level_counts(spark, sf):
-    return G.level_counts(L.scored_pairs(D.registry(spark, sf)))
+    return G.level_counts(L.scored_pairs(D.registry(spark, sf), sides=False))
 
 
 def review_counts(spark, sf):
@@ -336,27 +336,27 @@ def gate_offenders(spark, sf):
 
 
 def report_pairs(spark, sf):
-    return G.report_pairs(L.scored_pairs(D.registry(spark, sf)), 100).select("project", "pair_key", "score_int")
+    return G.report_pairs(L.scored_pairs(D.registry(spark, sf), sides=False), 100).select("project", "pair_key", "score_int")
 
 
 def issues(spark, sf):
-    r, pairs = judged(spark, sf)
+    r, pairs = judged(spark, sf, sides=True)
     return G.issues(pairs, r).drop("files")
 
 
 def filtered_issues(spark, sf):
-    r, pairs = judged(spark, sf)
+    r, pairs = judged(spark, sf, sides=True)
     rows = G.issues(pairs, r)
     return H.filter_issues(rows, level="medium", review="unreviewed", q="MOD3").select("project", "kind", "key", "title")
 
 
 def triage(spark, sf):
-    r, pairs = judged(spark, sf)
+    r, pairs = judged(spark, sf, sides=True)
     return G.triage(G.issues(pairs, r)).select("project", "kind", "key", "score_int", "reviewed")
 
 
 def _findings(spark, sf):
-    r, pairs = judged(spark, sf, False)
+    r, pairs = judged(spark, sf, False, sides=True)
     return G.findings(pairs, r)
 
 

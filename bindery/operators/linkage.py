@@ -392,9 +392,12 @@ def ignore_per_project(feats: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: DataFrame | None = None,
-                 ignored: DataFrame | None = None, max_bucket: int | None = None) -> DataFrame:
+                 ignored: DataFrame | None = None, max_bucket: int | None = None, sides: bool = True) -> DataFrame:
     """All scored pairs of every project, before verdicts.
 
+    sides: with the rows of both sides for display; without them the display
+    columns never enter a shuffle, and verdicts, rules and counts need none.
+
     settings: apply to all projects; ignored: (project, name) rows on top of
     them; units: (project, pattern) rows of standalone-unit patterns."""
     # four steps below read the features: they are computed once and staged
@@ -416,8 +419,8 @@ def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: Da
         .otherwise(N.pair_key(a["id"], b["id"])).alias("pair_key"),
         "score_int", "level", "reason",
         F.array_join("shared", "+").alias("family"), F.size("shared").alias("family_size"),
-        a["norm"].alias("norm_a"), b["norm"].alias("norm_b"),
-        _shown(a).alias("a"), _shown(b).alias("b"))
+        a["norm"].alias("norm_a"), b["norm"].alias("norm_b"), a["name"].alias("name_a"),
+        *([_shown(a).alias("a"), _shown(b).alias("b")] if sides else []))
     return pairs.dropDuplicates(["project", "id_a", "id_b"])
 
 
@@ -452,7 +455,7 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
     if rules is not None:
         note = (F.when(F.col("rule").startswith("family:"),
                        F.concat(F.lit("auto-quieted: matches a family you dismissed ("), F.col("family"), F.lit(")")))
-                .otherwise(F.concat(F.lit("auto-quieted: you dismissed another "), F.col("a.name"),
+                .otherwise(F.concat(F.lit("auto-quieted: you dismissed another "), F.col("name_a"),
                                     F.lit(" pair — this name repeats legitimately"))))
         quiet = F.struct(F.lit("not_duplicate").alias("verdict"), note.alias("note"),
                          F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("learned"))
