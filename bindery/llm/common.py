@@ -15,7 +15,7 @@ from ..staging import stage
 
 #: texts are worked on in groups of about this many bytes, so that the arrays
 #: made from them stay small whatever the Arrow batch holds
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column | None = None, id_c
         powers = Powers()
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
-            for low, high in row_slices(offsets, rows=1024):
+            for low, high in row_slices(offsets, rows=256):
                 _, has = presence(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], powers)
                 bits = [row.tobytes() for row in np.packbits(has, axis=1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array(bits, pa.binary())],
@@ -126,7 +126,7 @@ def membership(model: Classifier, text_col: str = "text") -> Column:
     def run(texts: pa.Array) -> pa.Array:
         data, offsets = byte_view(texts)
         powers, numbers, chances = Powers(), [np.zeros(0, np.int64)], [np.zeros((0, len(model.domains)))]
-        for low, high in row_slices(offsets, rows=1024):
+        for low, high in row_slices(offsets, rows=256):
             number, has = presence(data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low], powers)
             numbers.append(number)
             chances.append(model.posterior(has))

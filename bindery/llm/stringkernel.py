@@ -29,7 +29,7 @@ SYMBOL[128:] = np.arange(27, 155)
 _N = int(SYMBOL.max()) + 1
 CODES = _N + _N**2 + _N**3
 #: cells of a presence matrix
-CELLS = 1 << 24
+CELLS = 1 << 22
 
 
 def ngrams(data: np.ndarray, offsets: np.ndarray):

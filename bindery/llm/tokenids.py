@@ -29,7 +29,7 @@ from .wordscan import Powers
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-#: distinct pieces, and ids of all of them, that a Python worker keeps; one slice of texts may exceed them
+#: distinct pieces, and ids of all of them, that a task keeps; one slice of texts may exceed them
 CACHE, CACHE_IDS = 400_000, 6_000_000
 #: ASCII marks but the apostrophe
 MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -113,21 +113,27 @@ class PieceTable:
             number, at = number[~won], (at[~won] + 1) & self.mask
 
 
+def load(path: str):
+    """(tokenizer, the same model for lower-case ASCII words, whether an id ends a word where the vocabulary marks it).
+
+    Normal form and splitter leave lower-case ASCII words as they are."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer, pre_tokenizers
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    plain = Tokenizer(library.model)
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    ends = np.zeros(library.get_vocab_size(), bool)
+    ends[[i for t, i in library.get_vocab().items() if t.endswith("</w>")]] = True
+    return library, plain, ends
+
+
 class Encoder:
-    """Token ids of texts through a bounded cache of pieces."""
+    """Token ids of texts through a bounded cache of pieces, which ends with the task."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        # the same model for lower-case ASCII words, which normal form and splitter leave as they are
-        self.plain = Tokenizer(self.library.model)
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        #: whether an id ends a word, where the vocabulary marks that
-        self.ends = np.zeros(self.library.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.library, self.plain, self.ends = worker_state(f"tokenizer {path}", lambda: load(path))
         self.powers = [Powers(base) for base in _BASES]
         self.table = PieceTable()
         self.ids = np.zeros(0, np.int32)
@@ -233,8 +239,7 @@ class Encoder:
 
 def _encode(path: str, end: int, names: list[str]):
     def run(batches):
-        encoder = worker_state(f"encoder {path}", lambda: Encoder(path))
-        part, before = TaskContext.get().partitionId(), 0
+        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             data = memoryview(data)

@@ -302,7 +302,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             view, counts = memoryview(data), [np.zeros(0, np.int64)]
-            for low, high in row_slices(offsets):
+            for low, high in row_slices(offsets, 1 << 21):
                 counts.append(counter([bytes(view[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(np.concatenate(counts))],
