@@ -135,7 +135,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(tables, key: str, last: bool):
+def _scan(tables, key: str, last: bool, keep_text: bool):
     """One pass: adds the occurrences of a slice of items to `spans` and `items`."""
     def run(batches):
         compiled_tables, powers = tables.value, Powers()
@@ -159,18 +159,20 @@ def _scan(tables, key: str, last: bool):
                     spans[low + d] = [{"start": a, "end": b}
                                       for a, b in zip(*(x.tolist() for x in merged(every[:, 0], every[:, 1])))]
                     items[low + d] = sorted({*items[low + d], *(i for h in own for i in h[2])})
-            columns = [batch.column(0), pa.array(spans, _ARROW_SPANS), pa.array(items, pa.list_(pa.string())),
-                       pa.array(np.concatenate(counts) if counts else [], pa.int64())]
-            names = [key, "spans", "items", "n_words"]
+            columns = {key: batch.column(0), "text": batch.column(1), "spans": pa.array(spans, _ARROW_SPANS),
+                       "items": pa.array(items, pa.list_(pa.string())),
+                       "n_words": pa.array(np.concatenate(counts) if counts else [], pa.int64())}
+            if last and not keep_text:
+                del columns["text"]
             if not last:
-                columns, names = [columns[0], batch.column(1), *columns[1:3]], [key, "text", "spans", "items"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                del columns["n_words"]
+            yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
     return run
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                item_col: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS) -> DataFrame:
-    """(id, n_words, spans, items) for every document.
+                item_col: str = "item_id", item_text: str = "text", slice_words: int = SLICE_WORDS, keep_text: bool = False) -> DataFrame:
+    """(id, n_words, spans, items) for every document, with keep_text also its text as `text`.
 
     spans: the word ranges (from 0, end excluded) that lie in an occurrence of
     a window of any item, united; items: sorted ids of the items with occurring
@@ -181,17 +183,17 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     spark, key = docs.sparkSession, docs.schema[id_col]
     kind = T.StructType([key, T.StructField("text", T.StringType()), T.StructField("spans", SPANS),
                          T.StructField("items", T.ArrayType(T.StringType()))])
-    done = T.StructType([key, *kind.fields[2:], T.StructField("n_words", T.LongType())])
+    done = T.StructType([key, *kind.fields[1 if keep_text else 2:], T.StructField("n_words", T.LongType())])
     out = docs.select(id_col, F.col(text_col).alias("text"), F.array().cast(SPANS).alias("spans"),
                       F.array().cast("array<string>").alias("items"))
     slices = item_slices(benchmark, item_col, item_text, slice_words)
     part = next(slices, [])
     while True:
         after = next(slices, None)
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(compiled(part)), id_col, after is None),
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(compiled(part)), id_col, after is None, keep_text),
                              done if after is None else kind)
         if after is None:
-            return out.select(id_col, "n_words", "spans", "items")
+            return out.select(id_col, *["text"] * keep_text, "n_words", "spans", "items")
         part = after
 
 
