@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
     "f7_scored_pairs", "f17_visible_pairs", "g14_gate", "g12_triage",
-    "e1_upsert_lineitem", "e8_reconcile_lineitem", "e5_scan", "g10_session_summary", "j3_debounce",
+    "e1_upsert_lineitem", "e8_reconcile_lineitem", "e5_scan", "g10_session_summary", "j3_debounce", "j1_capture_stream",
     "b1_extract_python", "b2_b12_extract_typescript", "b8_extract_rust", "b5_extract_texts",
     "b10_strip_line_comment", "c2_secret_bank", "c4_entropy_secret", "c5_line_previews",
 ]
