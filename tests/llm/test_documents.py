@@ -10,7 +10,7 @@ import xxhash
 from corpora import documents, frame, rows_of
 from pyspark.sql import functions as F
 
-from bindery.llm import common, mixing, rulefit, simhash, stringkernel, tokenids, transducer, wumanber
+from bindery.llm import common, mixing, rulefit, shingles, simhash, stringkernel, tokenids, transducer, wumanber
 from bindery.llm.wordscan import Powers, Words
 
 ROWS = documents()
@@ -96,6 +96,60 @@ def test_simhash_finds_every_link_within_three_bits(spark):
     assert {tuple(r) for r in simhash.links(df).collect()} == want
 
 
+# ------------------------------------------------------- similar shingle sets
+
+def brute_groups(rows, similarity=0.8):
+    """The smallest id of each row's group, linked by the Jaccard similarity of five-word shingles."""
+    sets = []
+    for r in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (r[1] or "").encode().lower())
+        sets.append({tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                root[find(i)] = find(j)
+    ids = [[rows[j][0] for j in range(len(rows)) if find(j) == find(i) and rows[j][0] is not None] for i in range(len(rows))]
+    return [min(i) if i else None for i in ids]
+
+
+def near_rows():
+    """Texts of 200 words, and copies of them with up to seven words replaced, each copied on in a chain."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for _ in range(12):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        for changes in (0, 1, 2, 3, 3, 4, 7):
+            words = list(words)
+            for at in rng.choice(200, changes, replace=False):
+                words[at] = f"v{rng.integers(0, 5000)}"
+            rows.append((len(rows), " ".join(words), "en", "src0", 1))
+    return rows
+
+
+def test_shingle_groups_match_brute_force(spark, docs, nothing):
+    for rows, df in ((ROWS, docs), (near_rows(), frame(spark, near_rows()))):
+        got = rows_of(shingles.near_groups(df).select("row.doc_id", "component_id"), "doc_id", "component_id")
+        assert got == sorted(zip((r[0] for r in rows), brute_groups(rows)), key=repr)
+    assert shingles.near_groups(nothing).count() == 0
+
+
+def test_near_dedup_drops_what_three_bits_do_not_reach(spark):
+    import corpus_pipeline
+
+    rows = near_rows()
+    groups = set(brute_groups(rows))
+    assert len(groups) < len({c for _, _, c in brute_components(rows)}) / 2
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows, clash=False), "")
+    assert {r.doc_id for r in kept.collect()} == groups
+
+
 # --------------------------------------------------------- decontamination
 
 def items_of(rows):
