@@ -20,6 +20,8 @@ from .common import byte_view, id_crc, row_slices, table
 #: labelled rows of each language that the model is fitted on, at most; landmarks of each
 SAMPLE, LANDMARKS = 500, 64
 RIDGE = 1e-3
+#: what the share of known n-grams of a text may lie below that of labelled texts
+SLACK = 0.15
 #: values of `lang_pred` for texts that are null or hold no letter
 UNDETERMINED = "und"
 
@@ -156,6 +158,40 @@ def language(model: Model, text_col: str = "text") -> Column:
     return F.arrow_udf(run, "struct<lang_pred: string, score: double>")(F.coalesce(F.col(text_col), F.lit("")))
 
 
+def familiar(model: Model, text_col: str = "text") -> Column:
+    """Share of a text's three-byte n-grams, each as often as it occurs, that the model's vocabulary holds.
+
+    N-grams with more than one separator do not count; a text without any other has share one.
+    """
+    def run(texts: pa.Array) -> pa.Array:
+        known = np.zeros(CODES, bool)
+        known[model.codes] = True
+        data, offsets = byte_view(texts)
+        share = np.ones(len(texts))
+        for low, high in row_slices(offsets):
+            part = data[offsets[low]:offsets[high]]
+            *_, (row, code) = ngrams(part, offsets[low:high + 1] - offsets[low])
+            three = code - (_N + _N**2)
+            letters = (three >= _N**2).astype(np.int8) + (three // _N % _N > 0) + (three % _N > 0)
+            row, code = row[letters > 1], code[letters > 1]
+            total = np.bincount(row, minlength=high - low)
+            hits = np.bincount(row, weights=known[code], minlength=high - low)
+            share[low:high] = np.where(total > 0, hits / np.maximum(1, total), 1.0)
+        return pa.array(share)
+
+    return F.arrow_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def least_familiar(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
+                   lang_col: str = "lang", size: int = SAMPLE) -> float:
+    """The share (`familiar`) that 99 of 100 labelled texts of every language reach, less `SLACK`."""
+    rows = sample(docs, F.lit(True), id_col, text_col, lang_col, size).select("lang", familiar(model).alias("share"))
+    last = rows.groupBy("lang").agg(F.percentile("share", 0.01).alias("q"), F.count("*").alias("n"), F.min("share").alias("least"))
+    # of fewer than a hundred texts the lowest
+    found = last.agg(F.min(F.when(F.col("n") < 100, F.col("least")).otherwise(F.col("q")))).first()[0]
+    return 0.0 if found is None else found - SLACK
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) for every row, from the whole text alone.
 

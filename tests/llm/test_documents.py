@@ -207,6 +207,23 @@ def test_language_is_right_on_held_out_texts(docs, nothing):
     assert stringkernel.identify(docs, model).count() == len(ROWS)
 
 
+STRANGE = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり",
+    "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan",
+    "dGhpcyBpcyBub3QgYSB0ZXh0IGJ1dCBub2lzZQzXkQ9pWvLmTq7RfYb2KsHjNcXg", "9f3a07bc5e12dd48a6cbf0e37d915ae2c84fb60aa1",
+    "bcdf ghjk lmnp qrst vwxz kjhg fdsq wrtp zxcv bnml"]
+
+
+def test_pipeline_drops_texts_of_no_learned_language(spark):
+    import corpus_pipeline
+
+    clean = documents(seed=3, n=400)[:400]
+    rows = clean + [(1000 + i, t, None, "src0", len(t)) for i, t in enumerate(STRANGE)]
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, frame(spark, rows, clash=False), "").collect()}
+    assert kept == {r[0] for r in clean}
+
+
 def test_language_with_nothing_to_learn_from(docs, nothing):
     model = stringkernel.train(nothing, F.lit(True))
     assert {r.lang_pred for r in stringkernel.identify(docs, model).collect()} == {"und"}
