@@ -214,12 +214,12 @@ def namespaced(spark, sf):
 
 
 def validated(spark, sf):
-    return R.validate_changes(D.changes(spark, sf)).select("event_id", "file", "reason")
+    return R.validate_changes(D.changes(spark, sf), {"max_file_kb": None}).select("event_id", "file", "reason")
 
 
 def capture_summary(spark, sf):
     """Capture of Write events as a batch: per event, what its file's rows do."""
-    ch = R.validate_changes(D.changes(spark, sf)).filter("reason is null and tool_name = 'Write'")
+    ch = R.validate_changes(D.changes(spark, sf), {"max_file_kb": None}).filter("reason is null and tool_name = 'Write'")
     first = F.row_number().over(Window.partitionBy("project", "file", "name").orderBy("ts", "event_id")) == 1
     acts = ch.select("project", "event_id", F.when(first, "added").otherwise("updated").alias("action"))
     return R.capture_summary(acts)

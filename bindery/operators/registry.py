@@ -105,7 +105,8 @@ def validate_changes(changes: DataFrame, settings: dict | None = None) -> DataFr
     """Add file (relative path), lang, source and reason (null when accepted).
 
     `file_content` is the file after the change; without it the payload's
-    content stands in, as for a file deleted meanwhile."""
+    content stands in, as for a file deleted meanwhile.  A
+    max_file_kb of None accepts files of any size."""
     cfg = {**vocab.DEFAULT_SETTINGS, **(settings or {})}
     slash = F.replace(F.coalesce("tool_input.file_path", F.lit("")), F.lit("\\"), F.lit("/"))
     root = F.concat(F.regexp_replace(F.replace(F.coalesce("cwd", F.lit("")), F.lit("\\"), F.lit("/")),
@@ -119,12 +120,13 @@ def validate_changes(changes: DataFrame, settings: dict | None = None) -> DataFr
                                 F.array(*[F.lit(d) for d in cfg["exclude_dirs"]]))
     size = F.octet_length(F.coalesce("file_content", F.lit("")))
     source = F.coalesce("file_content", F.col("tool_input.content"))
+    too_large = F.lit(False) if cfg["max_file_kb"] is None else size > cfg["max_file_kb"] * 1024
     reason = (F.when(~tool.isin(vocab.CAPTURED_TOOLS), F.format_string("tool '%s' not captured", tool))
               .when(slash == "", "no file_path")
               .when(rel.isNull(), "outside project root")
               .when(excluded, "excluded dir")
               .when(N.lang_of_path(rel).isNull(), "unsupported language")
-              .when(size > cfg["max_file_kb"] * 1024, "file too large")
+              .when(too_large, "file too large")
               .when(source.isNull(), "unreadable file"))
     return changes.withColumns({"file": rel, "lang": N.lang_of_path(rel), "source": source, "reason": reason})
 

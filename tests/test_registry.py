@@ -119,6 +119,19 @@ def test_capture_stream(spark, tmp_path):
                            ("went_missing", "DB_URL")]
 
 
+def test_capture_of_a_large_file_and_the_rejects(spark, tmp_path):
+    large = "A = 1\n" + "# note\n" * 200000 + "Z = 2\n"
+    newest, _ = run_capture(spark, tmp_path, [[change(1, "Write", large), change(2, "Bash", "B = 1\n"),
+                                               change(3, "Write", "C = 1\n", path="/other/a.py")]])
+    assert set(newest) == {"A", "Z"}
+    rejects = spark.read.parquet(f"{tmp_path}/out/rejects")
+    assert {(r.event_id, r.file, r.reason) for r in rejects.collect()} == {
+        (2, "src/a.py", "tool 'Bash' not captured"), (3, "/other/a.py", "outside project root")}
+    bounded = J.apply_changes(spark.createDataFrame([], REGISTRY), spark.createDataFrame(
+        [change(1, "Write", large)], CHANGE_EVENTS), {"max_file_kb": 1024})
+    assert bounded[0].count() == 0
+
+
 def test_second_feed_and_rejects(spark):
     rows = [change(1, "Write", "A = 1\n", session="kilo:x"), change(2, "Write", "A = 1\n", session="7"),
             change(3, "Bash", "A = 1\n"), change(4, "Write", "A = 1\n", path="/other/a.py"),
