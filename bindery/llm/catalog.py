@@ -1,4 +1,5 @@
 """Registered queries of the corpus operators: name -> (Spark callable, SQL twin or None)."""
+from .eulertour import QUERIES as eulertour
 from .learnedparts import QUERIES as learnedparts
 from .merkle import QUERIES as merkle
 from .mixing import QUERIES as mixing
@@ -13,4 +14,4 @@ from .urllists import QUERIES as urllists
 from .wumanber import QUERIES as wumanber
 
 CATALOG = {**learnedparts, **urllists, **wumanber, **stringkernel, **sitelines, **transducer, **simhash, **mixing,
-           **rulefit, **tokenids, **prefixbpe, **merkle}
+           **rulefit, **tokenids, **prefixbpe, **eulertour, **merkle}
