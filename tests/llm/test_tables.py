@@ -124,7 +124,9 @@ def test_boilerplate_is_relative_to_the_site(spark):
 
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
-    from test_documents import brute_components, brute_contamination
+    from test_documents import brute_contamination, brute_groups
+
+    from bindery.llm import mixing
 
     rows = [r for r in documents(seed=9, n=120) if r[0] is not None]
     item = " ".join(rows[7][1].split()[:13])
@@ -148,17 +150,35 @@ def test_pipeline_stages(spark, tmp_path):
     before, after = kept["language_id"]
     assert {r[0] for r in before} - {r[0] for r in after} == {120, 121, 122, 123}
     before, after = kept["near_dedup"]
-    groups = brute_components(before)
-    assert sorted(r[0] for r in after) == sorted({c for _, _, c in groups})
+    assert sorted(r[0] for r in after) == sorted(set(brute_groups(before)))
+    assert set(after) <= set(before)
     before, after = kept["decontaminate"]
     bad = {r[0] for r in brute_contamination(before, [(1, item)]) if r[5]}
     assert bad and {r[0] for r in after} == {r[0] for r in before} - bad
     before, after = kept["mix"]
     assert after and set(after) <= set(before) and len(after) == len(set(after))
+    # a document stays by its rate alone
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    mixed = frame(spark, before, clash=False)
+    rate, _ = mixing.mixing(mixed, labels, cap=1.0)
+    rates = {r.doc_id: r.rate for r in mixed.select("doc_id", rate.alias("rate")).collect()}
+    assert {i for i, r in rates.items() if r >= 1} <= {r[0] for r in after} <= {i for i, r in rates.items() if r > 0}
     assert [r[0] for r in kept["tokens"][1]] and len(kept["tokens"][1]) == len(after)
     assert corpus_pipeline.run(spark, sf).count() == len(after)
 
 
+def test_near_dedup_with_shared_ids_and_other_columns(spark):
+    import corpus_pipeline
+
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (2, a, None, None, None), (0, b, "en", "s", 1), (None, a, "en", "s", 1)]
+    docs = frame(spark, rows)
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    # the group of b is named by 0; that of a by 1, which another group's row has too; a row without an id stays
+    assert rows_of(kept, "doc_id", "text") == sorted([(0, b), (1, a), (None, a)], key=repr)
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
