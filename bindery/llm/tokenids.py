@@ -9,6 +9,8 @@ position from the narrow columns alone.
 
 Texts are encoded by the tokenizers library.  It never lets a token span white
 space, nor a letter and an ASCII mark, so such pieces are encoded once and cached.
+A cached piece is found by hashes and compared byte by byte; texts with a piece
+that only looks like a cached one are encoded whole.
 """
 from __future__ import annotations
 
@@ -138,6 +140,9 @@ class Encoder:
         self.table = PieceTable()
         self.ids = np.zeros(0, np.int32)
         self.start = self.size = np.zeros(0, np.int64)
+        #: the pieces themselves, one after the other
+        self.bytes = np.zeros(0, np.uint8)
+        self.byte_start = self.byte_size = np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Drops the pieces that came last; frequent ones mostly come early."""
@@ -147,6 +152,8 @@ class Encoder:
         self.table.keep(kept)
         self.start, self.size = self.start[:kept].copy(), self.size[:kept].copy()
         self.ids = self.ids[:int(self.size.sum())].copy()
+        self.byte_start, self.byte_size = self.byte_start[:kept].copy(), self.byte_size[:kept].copy()
+        self.bytes = self.bytes[:int(self.byte_size.sum())].copy()
 
     @staticmethod
     def coded(library, texts: list[str]) -> list[list[int]]:
@@ -193,6 +200,14 @@ class Encoder:
         self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
         self.size = np.r_[self.size, size]
         self.ids = np.r_[self.ids, fresh]
+        length = np.array([len(x) for x in pieces], np.int64)
+        self.byte_start = np.r_[self.byte_start, len(self.bytes) + np.cumsum(length) - length]
+        self.byte_size = np.r_[self.byte_size, length]
+        self.bytes = np.r_[self.bytes, np.frombuffer(b"".join(pieces), np.uint8)]
+
+    def whole(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a call gives, without the cache."""
+        return flat([[*ids, end] for ids in self.coded(self.library, [t.decode() for t in texts])])
 
     def __call__(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's number of ids), `end` after each text.
@@ -227,6 +242,11 @@ class Encoder:
             self.learn([blob[a:b] for a, b in zip(start[one].tolist(), stop[one].tolist())])
             self.table.add(keys[:, one])
             slot[new] = self.table.find(keys[:, new])
+        length = stop - start
+        same = np.array_equal(self.byte_size[slot], length) and np.array_equal(
+            self.bytes[spans(self.byte_start[slot], length)], data[kind > 0])
+        if not same:
+            return self.whole(texts, end)
         size = self.size[slot]
         text_of = np.repeat(np.arange(len(texts)), count)
         total = np.bincount(text_of, size, minlength=len(texts)).astype(np.int64) + 1

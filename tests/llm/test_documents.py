@@ -289,6 +289,20 @@ def test_forgetting_changes_no_result(library, monkeypatch):
         assert encoder([r[1].encode()], 2)[0].tolist() == [*want, 2]
 
 
+def test_pieces_with_equal_hashes_keep_their_own_ids(library):
+    """Hashes that are polynomials modulo a power of two agree for these two words."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate({97: 98, 98: 97})
+    texts = [word, word.translate({97: 98, 98: 97}), f"x {word}", "plain text", ""]
+    want = [i for t in texts for i in (*library.encode(t, add_special_tokens=False).ids, 2)]
+    for together in (texts, texts[::-1]):
+        encoder = tokenids.Encoder(tokenids.tokenizer_path())
+        parts = [encoder([t.encode()], 2)[0].tolist() for t in together]
+        assert [i for p in (parts if together is texts else parts[::-1]) for i in p] == want
+    assert tokenids.Encoder(tokenids.tokenizer_path())([t.encode() for t in texts], 2)[0].tolist() == want
+
+
 def test_token_files_round_trip(spark, docs, nothing, library, tmp_path):
     path = str(tmp_path / "ids")
     tokenids.write_ids(docs, path, tokenids.tokenizer_path())
