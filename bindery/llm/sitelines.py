@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..staging import stage
 from .common import table
 
-RATIO, LEAST_PAGES = 0.1, 10
-#: fixed values: what separates the lines of a web page
-BREAKS = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|\n"
+#: a line on one page alone proves nothing
+RATIO, LEAST_PAGES = 0.1, 2
+#: fixed values: what separates the lines of a web page; what is opened and never closed goes on to the end
+BREAKS = r"(?is)<script\b.*?(?:</script>|\z)|<style\b.*?(?:</style>|\z)|<!--.*?(?:-->|\z)|</?[a-z!?][^>]*(?:>|\z)|\n"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -32,11 +33,11 @@ def html_lines(html: str) -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """(host, lines): lines of `pages` (host, lines) on more than `ratio` of a host's pages, for hosts of `least_pages`."""
+    """(host, lines): lines of `pages` (host, lines) on more than `ratio` of a host's pages and on `least_pages` at least."""
     sited = pages.where("host is not null")
     counts = sited.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(
-        F.count("*").alias("n")).where(F.col("n") > ratio * least_pages)
-    totals = sited.groupBy("host").agg(F.count("*").alias("total")).where(F.col("total") >= least_pages)
+        F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    totals = sited.groupBy("host").agg(F.count("*").alias("total"))
     return counts.join(totals, "host").where(F.col("n") > ratio * F.col("total")).groupBy("host").agg(
         F.collect_set("line").alias("common"))
 
@@ -46,10 +47,11 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     """(id, host, n_lines, n_dropped, text): each page's remaining lines in order, joined by line breaks.
 
     A page counts once for a line that it repeats, all its repeats are dropped.
-    A line on exactly `ratio` of the pages stays.  Pages without a host, and
-    hosts of fewer than `least_pages` pages, lose nothing.  A page without text
-    has no lines and an empty text but counts in its host's total, as do
-    repeated rows.  Other columns are not read.
+    A line on exactly `ratio` of the pages stays, as does one on fewer than
+    `least_pages`; hosts of any size follow the same rule.  Pages without a host
+    lose nothing.  A page without text has no lines and an empty text but counts
+    in its host's total, as do repeated rows.  A tag, script, style or comment
+    that is never closed takes what follows.  Other columns are not read.
     """
     host = host_of("url") if host is None else host
     lines = html_lines("html") if lines is None else lines
@@ -78,7 +80,7 @@ line AS (
 common AS (
   SELECT host, list(line) AS common
   FROM line JOIN (SELECT host, count(*) AS total FROM cut WHERE host IS NOT NULL GROUP BY host) USING (host)
-  WHERE total >= {LEAST_PAGES} AND n > {RATIO} * total GROUP BY host),
+  WHERE n >= {LEAST_PAGES} AND n > {RATIO} * total GROUP BY host),
 kept AS (
   SELECT page_id, host, lines,
          CASE WHEN common IS NULL THEN lines

@@ -108,18 +108,27 @@ def test_boilerplate_is_relative_to_the_site(spark):
     rows = [(i, f"http://a.com/{i}", page.format("Menu", f"text {i}", i % 5)) for i in range(20)]
     rows += [(100 + i, f"http://b.com/{i}", page.format("Menu", "same", "x")) for i in range(3)]
     rows += [(200, None, page.format("Menu", "m", "x")), (201, "http://A.com/z", None), (202, "http://a.com/y", ""),
-             (5, "http://a.com/5", rows[5][2])]
+             (300, "http://c.com/", page.format("Menu", "one", "y")), (5, "http://a.com/5", rows[5][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("?"))
-    got = {r.page_id: r for r in sitelines.drop_boilerplate(pages, 0.2, 10).collect()}
+    got = {r.page_id: r for r in sitelines.drop_boilerplate(pages, 0.2).collect()}
     # of 23 pages of a.com, "end 0" is on 5 (by the repeated row), the others on 4
     assert got[1].text == "text 1\nend 1" and got[1].n_lines == 4 and got[1].n_dropped == 2
     assert got[5].text == "text 5" and got[5].host == "a.com"
-    assert got[100].n_dropped == 0 and got[200].n_dropped == 0 and got[200].host is None
+    # hosts of any size follow the rule; a line on one page proves nothing
+    assert got[100].n_dropped == got[100].n_lines == 4 and got[300].n_dropped == 0
+    assert got[200].n_dropped == 0 and got[200].host is None
     assert got[201].text == "" and got[202].n_lines == 0
-    assert sitelines.drop_boilerplate(pages, 0.2, 10).count() == len(rows)
+    assert sitelines.drop_boilerplate(pages, 0.2).count() == len(rows)
     assert sitelines.drop_boilerplate(pages.limit(0)).count() == 0
 
 
+def test_what_is_never_closed_takes_linear_time(spark):
+    html = ["a<script " * 60_000, "b<!-- " * 60_000, "c<d " * 60_000, "5 < 6<p>x > y</p>z <style"]
+    pages = spark.createDataFrame([(i, "http://a.com", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in sitelines.drop_boilerplate(pages, 1.0).collect()}
+    assert got == {0: "a", 1: "b", 2: "c", 3: "5 < 6\nx > y\nz"}
+
+
 # ------------------------------------------------------------------ pipeline
 
 def test_pipeline_stages(spark, tmp_path):
