@@ -123,6 +123,73 @@ def test_an_emptied_project_loses_its_rows(spark, tmp_path):
     assert {r.project for r in T.read_registry(spark, path).collect()} == {"p", "s"}
 
 
+def many_files(spark, n=40):
+    rows = [("p", f"f{i}.py", f"A = {i}\nB = 1\n") for i in range(n)] + [("q", "a.py", "C = 1\n"), ("r", "z.py", "D = 1\n")]
+    return baseline(spark.createDataFrame(rows, "project string, path string, content string"), "2024-01-01")
+
+
+def data_files(path):
+    return {str(p.relative_to(path)) for p in path.rglob("*.parquet")}
+
+
+def content(spark, path):
+    return sorted((r.project, r.file, r.name, r.note or "") for r in T.read_registry(spark, str(path)).collect())
+
+
+def test_a_registry_is_written_over_its_own_source(spark, tmp_path):
+    path = tmp_path / "r"
+    T.write_registry(many_files(spark), str(path))
+    reg = T.read_registry(spark, str(path))
+    touched = spark.createDataFrame([("p",), ("q",)], "project string")
+    T.write_registry(reg.filter("project = 'p' and name = 'A'").withColumn("note", F.lit("seen")), str(path), touched)
+    assert content(spark, path) == sorted([("p", f"f{i}.py", "A", "seen") for i in range(40)] + [("r", "z.py", "D", "")])
+    assert not [p for p in path.iterdir() if p.name.startswith("_swap")]
+
+
+def test_one_file_rewrites_one_shard(spark, tmp_path):
+    path = tmp_path / "r"
+    T.write_registry(many_files(spark), str(path))
+    before = data_files(path)
+    reg = T.read_registry(spark, str(path))
+    one = F.col("file") == "f7.py"
+    shard = reg.filter(one).select(F.pmod(F.hash("file"), F.lit(T.SHARDS))).first()[0]
+    T.write_registry(reg.filter(~(one & (F.col("name") == "B"))), str(path), spark.createDataFrame([("p", "f7.py")], "project string, file string"))
+    after = data_files(path)
+    assert {f for f in before ^ after} and all(f.startswith(f"project=p/shard={shard}/") for f in before ^ after)
+    assert len(content(spark, path)) == 81 and ("p", "f7.py", "B", "") not in content(spark, path)
+    # the only file of a shard loses its last row: the shard goes
+    T.write_registry(T.read_registry(spark, str(path)).filter("project <> 'q'"), str(path),
+                     spark.createDataFrame([("q", "a.py")], "project string, file string"))
+    assert not [f for f in data_files(path) if f.startswith("project=q/")] and len(content(spark, path)) == 80
+
+
+def test_a_broken_off_swap_is_finished(spark, tmp_path, monkeypatch):
+    path = tmp_path / "r"
+    T.write_registry(many_files(spark), str(path))
+    reg, done = T.read_registry(spark, str(path)).withColumn("note", F.lit("new")), []
+
+    def rename(*args, real=T.folders.rename):
+        if len(done) == 5:
+            raise OSError("lost")
+        done.append(real(*args))
+
+    with monkeypatch.context() as m:
+        m.setattr(T.folders, "rename", rename)
+        try:
+            T.write_registry(reg, str(path))
+        except OSError:
+            pass
+    assert len(done) == 5
+    T.recover_registry(spark, str(path))
+    T.recover_registry(spark, str(path))
+    rows = content(spark, path)
+    assert len(rows) == 82 and {r[3] for r in rows} == {"new"}
+    # one that had not come to swapping changes nothing
+    (path / "_swap-x" / "rows").mkdir(parents=True)
+    T.recover_registry(spark, str(path))
+    assert content(spark, path) == rows and not (path / "_swap-x").exists()
+
+
 def test_microseconds_survive_the_event_log(spark, tmp_path):
     events = spark.createDataFrame([("p", "s", "a")], "project string, session_id string, action string").selectExpr(
         "project", "timestamp '2024-05-06 07:08:09.123456' ts", "session_id", "action", "'n' name", "'f' file", "'' scope", "'' detail")
