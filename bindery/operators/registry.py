@@ -105,9 +105,9 @@ def validate_changes(changes: DataFrame, settings: dict | None = None) -> DataFr
     """Add file (relative path), lang, source and reason (null when accepted).
 
     `file_content` is the file after the change; without it the payload's
-    content stands in, as for a file deleted meanwhile.  A
-    max_file_kb of None accepts files of any size."""
-    cfg = {**vocab.DEFAULT_SETTINGS, **(settings or {})}
+    content stands in, as for a file deleted meanwhile.  Files of any
+    size are accepted unless `settings` hold a max_file_kb."""
+    cfg = {**vocab.DEFAULT_SETTINGS, "max_file_kb": None, **(settings or {})}
     slash = F.replace(F.coalesce("tool_input.file_path", F.lit("")), F.lit("\\"), F.lit("/"))
     root = F.concat(F.regexp_replace(F.replace(F.coalesce("cwd", F.lit("")), F.lit("\\"), F.lit("/")),
                                      "/+$", ""), F.lit("/"))

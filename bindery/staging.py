@@ -7,9 +7,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.folders import delete
+
+_held: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
 
 def stage_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,5 +32,20 @@ def stage_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _held.get() is not None:
+        _held.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, as in a stream that would pile them up."""
+    paths: list[str] = []
+    before = _held.set(paths)
+    try:
+        yield
+    finally:
+        _held.reset(before)
+        for path in paths:
+            delete(spark, path)

@@ -1,5 +1,7 @@
 """Registry sequences: write, edit, drift, move, delete, scan, accept."""
 import datetime as dt
+import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from bindery.operators import registry as R
 from bindery.operators.extract import extract_assignments
 from bindery.plans.analyze import baseline
 from bindery.schema import CHANGE_EVENTS, REGISTRY, REGISTRY_COLUMNS
+from bindery.sources.versions import VersionTable
 from bindery.streaming import capture as J
 
 T0 = "2024-01-01 00:00:00"
@@ -99,9 +102,7 @@ def run_capture(spark, tmp_path, batches):
         spark.createDataFrame(rows, CHANGE_EVENTS).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(CHANGE_EVENTS).parquet(inbox)
         J.capture_stream(stream, out, f"{out}/check").awaitTermination()
-    rows = spark.read.parquet(f"{out}/rows")
-    from bindery.operators.latest import latest
-    newest = {r["name"]: r for r in latest(rows, ["project", "file", "scope", "name"], ["epoch", "event_id"]).collect()}
+    newest = {r["name"]: r for r in J.captured_state(spark, out).collect()}
     log = spark.read.json(f"{out}/events").orderBy("ts").collect()
     return newest, [(r.action, r.name) for r in log]
 
@@ -109,8 +110,7 @@ def run_capture(spark, tmp_path, batches):
 def test_capture_stream(spark, tmp_path):
     newest, log = run_capture(spark, tmp_path / "one", [SEQUENCE])
     parts, parts_log = run_capture(spark, tmp_path / "many", [SEQUENCE[:1], SEQUENCE[1:3], SEQUENCE[3:]])
-    strip = lambda d: {k: {c: v for c, v in r.asDict().items() if c != "epoch"} for k, r in d.items()}
-    assert strip(newest) == strip(parts) and sorted(log) == sorted(parts_log)
+    assert newest == parts and sorted(log) == sorted(parts_log)
     assert set(newest) == {"MAX_CONN", "DB_URL"}
     conn = newest["MAX_CONN"]
     assert (conn.status, conn.first_session, conn.last_session, conn.value_preview) == ("active", "s1", "s3", "4")
@@ -132,12 +132,65 @@ def test_capture_of_a_large_file_and_the_rejects(spark, tmp_path):
     assert bounded[0].count() == 0
 
 
+def test_an_event_delivered_again_counts_once(spark, tmp_path):
+    first, again = [SEQUENCE[0], SEQUENCE[0], SEQUENCE[1]], [SEQUENCE[0], SEQUENCE[1], SEQUENCE[2]]
+    inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in (first, again):
+        spark.createDataFrame(rows, CHANGE_EVENTS).coalesce(1).write.mode("append").parquet(inbox)
+        J.capture_stream(spark.readStream.schema(CHANGE_EVENTS).parquet(inbox), out, f"{out}/check", delay="1 hour").awaitTermination()
+    log = sorted((r.action, r.name) for r in spark.read.json(f"{out}/events").collect())
+    assert log == [("added", "DB_URL"), ("added", "MAX_CONN"), ("updated", "MAX_CONN")]
+    _, log = run_capture(spark, tmp_path / "one", [first])
+    assert sorted(log) == [("added", "DB_URL"), ("added", "MAX_CONN"), ("updated", "MAX_CONN")]
+    assert [(r.event_id, r.reason) for r in spark.read.parquet(f"{tmp_path}/one/out/rejects").collect()] == [(1, "delivered before")]
+
+
+def test_versions_of_fifty_epochs(spark, tmp_path):
+    schema = "k string, place string, v long, epoch long"
+    path = str(tmp_path / "versions")
+    table = VersionTable(spark, path, spark.createDataFrame([], schema).schema, ["k", "place"], ["place"], buckets=8, fan=4)
+    want, opened = {}, []
+    for epoch in range(50):
+        rows = [(f"k{(epoch * 7 + i) % 23}", f"f{(epoch + i) % 5}", epoch * 10 + i, None) for i in range(6)]
+        table.compact(epoch)
+        if epoch == 33:
+            table.compact(epoch)
+        table.write(spark.createDataFrame(rows, schema), epoch)
+        want |= {r[:2]: (r[2], epoch) for r in rows}
+        opened.append(len(table.runs()[0]))
+        if epoch == 20:
+            before = dict(want)
+    assert {(r.k, r.place): (r.v, r.epoch) for r in table.read().collect()} == want
+    # one epoch's worth of runs and at most fan of each length, however many epochs there are
+    assert max(opened) <= 3 * 4
+    # a look-up reads the buckets of its files alone
+    one = spark.createDataFrame([("f3",)], "place string")
+    some = table.read(files=one)
+    assert {(r.k, r.place): (r.v, r.epoch) for r in some.collect()} == {k: v for k, v in want.items() if k[1] == "f3"}
+    assert {re.search(r"bucket=(\d+)", f)[1] for f in some.inputFiles()} == {str(one.select(table.bucket()).first()[0])}
+    # a merge that was broken off counts for nothing, and a run that was rewritten replaces what it had
+    os.makedirs(f"{path}/run=0-63")
+    assert table.read().count() == len(want)
+    table.write(spark.createDataFrame([("new", "f1", 1, None)], schema), 49)
+    assert ("new", "f1") in {(r.k, r.place) for r in table.read().collect()}
+    assert {(r.k, r.place) for r in table.read(before=16).collect()} <= set(before)
+
+
+def test_capture_leaves_no_scratch_tables(spark, tmp_path):
+    staged = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(staged))
+    run_capture(spark, tmp_path, [SEQUENCE[:2], SEQUENCE[2:]])
+    assert set(os.listdir(staged)) == before
+
+
 def test_second_feed_and_rejects(spark):
     rows = [change(1, "Write", "A = 1\n", session="kilo:x"), change(2, "Write", "A = 1\n", session="7"),
             change(3, "Bash", "A = 1\n"), change(4, "Write", "A = 1\n", path="/other/a.py"),
             change(5, "Write", "A = 1\n", path="/w/p/node_modules/a.py"), change(6, "Write", "A = 1\n", path="/w/p/a.txt"),
             change(7, "Write", "A = 1\n" * 200000), change(8, "Write", None)]
-    df = R.validate_changes(R.namespace_sessions(spark.createDataFrame(rows, CHANGE_EVENTS)))
+    named = R.namespace_sessions(spark.createDataFrame(rows, CHANGE_EVENTS))
+    assert R.validate_changes(named).filter("event_id = 7 and reason is null").count() == 1
+    df = R.validate_changes(named, {"max_file_kb": 1024})
     got = {r.event_id: (r.session_id, r.reason) for r in df.collect()}
     assert got[1] == ("kilo:x", None) and got[2] == ("kilo:7", None)
     assert [got[i][1] for i in range(3, 9)] == ["tool 'Bash' not captured", "outside project root", "excluded dir",
