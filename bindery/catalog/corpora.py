@@ -368,9 +368,7 @@ def _captured(spark, sf):
 
 def capture_stream(spark, sf):
     """Change events through the stateful capture: newest state of each row."""
-    from ..operators.latest import latest
-    rows = spark.read.parquet(f"{_captured(spark, sf)}/rows")
-    return latest(rows, ["project", "file", "scope", "name"], ["epoch", "event_id"]).select(
+    return J.captured_state(spark, _captured(spark, sf)).select(
         "project", "file", "name", "status", "first_session", "last_session", "value_preview", "repo_value_preview")
 
 
@@ -379,6 +377,31 @@ def capture_events(spark, sf):
     return log.groupBy("project", "action").agg(F.count(F.lit(1)).alias("events"))
 
 
+def long_values(spark, sf):
+    """One project per part, whose second value names the first row beyond the length of a preview."""
+    project = F.format_string("p%d", "p_partkey")
+    text = F.concat(F.lit('FERRY_BASE_URL = "https://quay/'), F.col("p_partkey").cast("string"), F.lit('"\nferry_url = join("'),
+                    F.repeat(F.lit("x"), F.pmod(F.col("p_partkey"), F.lit(300)).cast("int")), F.lit('", FERRY_BASE_URL)\n'))
+    files = D.table(spark, sf, "part").select(project.alias("project"), F.lit("src/quay.py").alias("path"), text.alias("content"))
+    return A.analyze(files, "low")["pairs"].select("project", F.col("a.name").alias("name_a"), F.col("b.name").alias("name_b"),
+                                                   "level", "reason", F.col("b.value").alias("value_b"))
+
+
+def event_time(spark, sf):
+    """Change events in two deliveries: the second brings every eleventh event for the first time, often too late,
+    and every seventh of the others again.  What the capture did, and the events it kept apart, per project."""
+    inbox, out = (f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}" for name in ("deliveries", "captured"))
+    changes = D.changes(spark, sf).select(*CHANGE_EVENTS.fieldNames())
+    held_back = F.col("event_id") % 11 == 0
+    for part in (changes.filter(~held_back), changes.filter(held_back | (F.col("event_id") % 7 == 0))):
+        part.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(CHANGE_EVENTS).parquet(inbox)
+        J.capture_stream(stream, out, f"{out}/checkpoint", delay="3650 days").awaitTermination()
+    late = spark.read.parquet(f"{out}/late").select("project", F.lit("late").alias("action"))
+    return spark.read.json(f"{out}/events").select("project", "action").union(late).groupBy("project", "action").agg(
+        F.count(F.lit(1)).alias("events"))
+
+
 def tail(spark, sf):
     """The registry written in two versions and followed as a stream."""
     path = f"{stage_dir(spark)}/tail-{uuid.uuid4().hex}"
@@ -405,6 +428,29 @@ seen AS (SELECT c.project, c.file, c.name, max((h.ts, h.event_id)) AS seen_at, a
   FROM claims c JOIN held h ON (c.project, c.file, c.name) = (h.project, h.file, h.name) AND (h.ts, h.event_id) >= c.first_at GROUP BY ALL)
 """
 
+EVENT_TIME = f"""WITH {D.EVENT_LOG}, {D.CHANGES},
+ok AS (SELECT *, (CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END, ts, event_id) AS turn, event_id % 11 = 0 AS held_back FROM changes
+  WHERE tool_name <> 'Read' AND path NOT IN ('', '/elsewhere/a.py', 'dist', 'notes.txt')),
+held AS (
+  SELECT project, path AS file, turn, held_back, name, tool_name = 'Write' OR event_id % 2 = 0 AS claimed FROM ok
+  UNION ALL SELECT project, path, turn, held_back, 'HUMAN_' || name, tool_name = 'Write' FROM ok WHERE event_id % 5 = 0),
+first_claims AS (SELECT project, file, name, min(turn) AS first_at FROM held WHERE claimed AND NOT held_back GROUP BY ALL),
+first_steps AS (SELECT c.project, c.file, c.name, o.turn, o.ts, h.name IS NOT NULL AS present FROM first_claims c
+  JOIN ok o ON (o.project, o.path) = (c.project, c.file) AND o.turn >= c.first_at AND NOT o.held_back
+  LEFT JOIN held h ON (h.project, h.file, h.name, h.turn) = (c.project, c.file, c.name, o.turn)),
+first_touched AS (SELECT *, present OR lag(present) OVER (PARTITION BY project, file, name ORDER BY turn) AS touched FROM first_steps),
+seen_until AS (SELECT project, file, max(ts) AS until FROM first_touched WHERE touched GROUP BY ALL),
+too_late AS (SELECT o.turn, o.project FROM ok o JOIN seen_until s ON (s.project, s.file) = (o.project, o.path) WHERE held_back AND ts < until),
+claims AS (SELECT project, file, name, min(turn) AS first_at, count(*) AS writes FROM held WHERE claimed AND turn NOT IN (SELECT turn FROM too_late) GROUP BY ALL),
+step AS (SELECT c.project, c.file, c.name, o.turn, h.name IS NOT NULL AS present FROM claims c
+  JOIN ok o ON (o.project, o.path) = (c.project, c.file) AND o.turn >= c.first_at AND o.turn NOT IN (SELECT turn FROM too_late)
+  LEFT JOIN held h ON (h.project, h.file, h.name, h.turn) = (c.project, c.file, c.name, o.turn)),
+gone AS (SELECT *, NOT present AND lag(present) OVER (PARTITION BY project, file, name ORDER BY turn) AS went FROM step)
+SELECT project, 'added' AS action, count(*) AS events FROM claims GROUP BY ALL
+UNION ALL SELECT project, 'updated', (sum(writes) - count(*))::bigint FROM claims GROUP BY ALL HAVING sum(writes) > count(*)
+UNION ALL SELECT project, 'went_missing', count(*) FROM gone WHERE went GROUP BY ALL
+UNION ALL SELECT project, 'late', count(*) FROM too_late GROUP BY ALL"""
+
 ANALYZED = f"""WITH {PARTS}, registry AS (
   SELECT *, file || '|' || scope || '|' || name AS id, sha1(value) AS value_hash FROM (
     SELECT replace(project, '#', '-') AS project, 'ops/.env.p' || n AS file, '' AS scope,
@@ -432,6 +478,10 @@ QUERIES = {
     "a3_ignore_prune": (ignore_prune, f"{REG}, {PATHS} SELECT project, seq FROM paths WHERE NOT (project LIKE '%1' AND seq % 9 IN (2, 4))"),
     "a5_size_filter": (size_filter, "SELECT doc_id, strlen(text)::int AS length FROM documents WHERE strlen(text) <= 8192"),
     "a14_analyze": (analyze, ANALYZED),
+    "f8_whole_values": (long_values, """WITH v AS (SELECT 'p' || p_partkey AS project,
+          'join("' || repeat('x', (p_partkey % 300)::int) || '", FERRY_BASE_URL)' AS value FROM part)
+        SELECT project, 'FERRY_BASE_URL' AS name_a, 'ferry_url' AS name_b, 'low' AS level, 'alias-derived' AS reason,
+          CASE WHEN len(value) > 120 THEN value[:119] || '…' ELSE value END AS value_b FROM v"""),
     "a15_path_safety": (path_safety, f"""{REG}, {PATHS}, q AS (SELECT seq, CASE seq % 5 WHEN 0 THEN '\\x\\' || path WHEN 1 THEN 'a/../' || path WHEN 2 THEN '/' ELSE path END AS path FROM paths)
         SELECT seq, CASE WHEN seq % 13 IN (0, 1) THEN path WHEN seq % 5 = 0 THEN 'x/' || replace(path[4:], '\\', '/') ELSE path END AS path,
           CASE WHEN seq % 13 IN (0, 1) THEN 'invalid project id' WHEN seq % 5 IN (1, 2) THEN 'unsafe path' END AS reason FROM q"""),
@@ -477,5 +527,6 @@ QUERIES = {
         UNION ALL SELECT project, 'updated', n FROM (SELECT h.project, count(*) - (SELECT count(*) FROM claims c WHERE c.project = h.project) AS n
           FROM held h WHERE claimed GROUP BY h.project) WHERE n > 0
         UNION ALL SELECT project, 'went_missing', count(*) FROM gone WHERE went GROUP BY ALL"""),
+    "j6_event_time": (event_time, EVENT_TIME),
     "j5_registry_tail": (tail, f"{REG} SELECT project, status, count(*) AS count FROM registry GROUP BY ALL"),
 }

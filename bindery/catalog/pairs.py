@@ -339,6 +339,27 @@ def report_pairs(spark, sf):
     return G.report_pairs(L.scored_pairs(D.registry(spark, sf), sides=False), 100).select("project", "pair_key", "score_int")
 
 
+def report_vars(spark, sf):
+    """The report's variables: their place in its order and the level of their best pair."""
+    r, pairs = judged(spark, sf)
+    return G.report(r, pairs, 100)["vars"].select("project", "id", "place", "dup_level")
+
+
+def report_omitted(spark, sf):
+    r, pairs = judged(spark, sf)
+    return G.report(r, pairs, 100)["omitted"]
+
+
+def triage_groups(spark, sf):
+    """Triage of each group of projects: a project belongs to the repo of its number."""
+    r, pairs = judged(spark, sf, sides=True)
+    number = (F.regexp_extract("project", r"(\d+)$", 1).cast("int") % 25).cast("string")
+    projects = r.select("project").distinct().withColumn("repo_id", number)
+    members = G.group_members(D.groups(spark, sf), D.repos(spark, sf)).join(projects, "repo_id").select(
+        "group_id", F.col("project").alias("repo_id"))
+    return G.triage(G.issues(pairs, r), members).select("group_id", "project", "kind", "key", "score_int", "reviewed")
+
+
 def issues(spark, sf):
     r, pairs = judged(spark, sf, sides=True)
     return G.issues(pairs, r).drop("files")
@@ -503,6 +524,11 @@ QUERIES = {
     "g6_var_level": (var_level, f"{WITH_REVIEWED}, {_VAR_LEVEL} SELECT project, id, level FROM var_level"),
     "g7_report_pairs": (report_pairs, WITH_SCORED + """ SELECT project, pair_key, score_int FROM scored
         QUALIFY row_number() OVER (PARTITION BY project ORDER BY score_int DESC, pair_key) <= 100"""),
+    "g7_report_vars": (report_vars, f"""{WITH_REVIEWED}, {_VAR_LEVEL} SELECT r.project, r.id, v.level AS dup_level,
+          row_number() OVER (PARTITION BY r.project ORDER BY scope <> '', file, coalesce(line, 0), r.id) AS place
+        FROM registry r LEFT JOIN var_level v ON v.project = r.project AND v.id = r.id"""),
+    "g7_report_omitted": (report_omitted, WITH_REVIEWED + """ SELECT project, greatest(count(*) - 100, 0) AS omitted
+        FROM judged GROUP BY project"""),
     "g8_needs_attention": (needs_attention, WITH_REVIEWED + """,
         p AS (SELECT project, count(*) FILTER (WHERE verdict IS NULL AND level = 'high') AS high,
           count(*) FILTER (WHERE verdict IS NULL AND level = 'medium') AS medium,
@@ -518,6 +544,11 @@ QUERIES = {
     "g12_triage": (triage, f"""{WITH_REVIEWED}, {ISSUES}, tops AS (SELECT * FROM issues QUALIFY row_number() OVER (
         PARTITION BY project ORDER BY reviewed, score_int DESC, key) <= 8)
         SELECT project, kind, key, score_int, reviewed FROM tops ORDER BY reviewed, score_int DESC, key, project LIMIT 12"""),
+    "g12_triage_groups": (triage_groups, f"""{WITH_REVIEWED}, {ISSUES}, {D.REPOS}, tops AS (SELECT * FROM issues QUALIFY row_number() OVER (
+        PARTITION BY project ORDER BY reviewed, score_int DESC, key) <= 8)
+        SELECT CASE WHEN n_nationkey % 5 <> 0 THEN 'g-' || r_name ELSE 'standalone' END AS group_id, project, kind, key, score_int, reviewed
+        FROM tops JOIN repos ON (regexp_extract(project, '(\\d+)$', 1)::int % 25)::varchar = repo_id
+        QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY reviewed, score_int DESC, key, project) <= 12"""),
     "g14_gate": (gate, WITH_REVIEWED + """ SELECT project, count(*) FILTER (WHERE level <> 'low') AS found,
         count(*) FILTER (WHERE level <> 'low') <= 15 AS passed, count(*) FILTER (WHERE level = 'high') AS high,
         count(*) FILTER (WHERE level = 'medium') AS medium, 0::bigint AS low FROM open_pairs GROUP BY project"""),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab
-from ..schema import REVIEWS
+from ..schema import KEY, REVIEWS
 from ..staging import stage
 from .latest import latest
 
@@ -48,10 +48,24 @@ def features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
     return live_features(registry, settings).filter("linkable").drop("linkable")
 
 
-def live_features(registry: DataFrame, settings: dict | None = None) -> DataFrame:
-    """Features of all live rows; names outside `linkable` still count as known."""
+def with_values(registry: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Add `_whole`: the whole value of each row as extracted (key columns, ord, value), where its file holds it."""
+    whole = latest(extracted, KEY, ["ord"]).select(*KEY, F.col("value").alias("_whole"))
+    return registry.join(whole, KEY, "left")
+
+
+def live_features(registry: DataFrame, settings: dict | None = None, extracted: DataFrame | None = None) -> DataFrame:
+    """Features of all live rows; names outside `linkable` still count as known.
+
+    The registry keeps a preview of each value, which is what the rules read.
+    With the `extracted` rows at hand they read the whole value, unless it is
+    redacted; the preview is shown in either case."""
     cfg = {**vocab.DEFAULT_SETTINGS, **(settings or {})}
-    name, value, file = F.col("name"), F.col("value_preview"), F.col("file")
+    name, preview, file = F.col("name"), F.col("value_preview"), F.col("file")
+    value = preview
+    if extracted is not None:
+        registry = with_values(registry, extracted)
+        value = F.when(F.col("redacted"), preview).otherwise(F.coalesce("_whole", preview))
     destructured = F.coalesce(F.col("kind"), F.lit("")).endswith("-destructure")
     norm = N.norm_name(name)
     visible = F.when(~F.col("redacted"), F.coalesce(value, F.lit(""))).otherwise("")
@@ -85,7 +99,7 @@ def live_features(registry: DataFrame, settings: dict | None = None) -> DataFram
             visible, F.lit(r"(?U)[A-Za-z_$][\w$]*"), F.lit(0))), N.constant_like).alias("mentions"),
         # display columns of the sides
         F.coalesce(F.when(F.col("repo_line") != 0, F.col("repo_line")), F.col("line")).alias("show_line"),
-        value.alias("show_value"), F.col("origin").alias("show_origin"),
+        preview.alias("show_value"), F.col("origin").alias("show_origin"),
         X.prefix(F.col("last_session"), 8).alias("show_last_session"), F.col("note").alias("show_note"),
         F.col("repo_value_preview").alias("show_repo_value"), F.col("redacted").alias("show_redacted"))
 
@@ -177,25 +191,113 @@ def candidate_pairs(blocks: DataFrame) -> DataFrame:
             .select("project", "id_a", "id_b").distinct())
 
 
+def overlap_keys(feats: DataFrame) -> DataFrame:
+    """Add `overlap`: the tokens under which a row meets all that share half of both rows' tokens, as (block, at, n).
+
+    Half of the tokens of two rows of two tokens or more is at least two tokens
+    and a third of their sum.  With a row's tokens in order of rarity, the first
+    shared one cannot stand so late that fewer than that are left; a token that
+    one row alone has meets nothing and just takes its place."""
+    listed = feats.select("project", "id", F.explode("tokens").alias("token"))
+    held = listed.groupBy("project", "token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    rare = listed.join(held, ["project", "token"]).groupBy("project", "id").agg(
+        F.array_sort(F.collect_list(F.struct("held", "token"))).alias("_rare"))
+    n = F.size("tokens")
+    # the smallest other row has half as many tokens
+    least = F.greatest(F.lit(2), F.ceil((n + F.ceil(n / 2)) / 3))
+    alone = n - F.size("_rare")
+    first = F.slice("_rare", 1, F.greatest(F.lit(0), n - least + 1 - alone).cast("int"))
+    keys = F.transform(first, lambda e, i: F.struct(F.concat(F.lit("o:"), e["token"]).alias("block"), (alone + i).alias("at"), n.alias("n")))
+    none = F.array().cast("array<struct<block:string,at:int,n:int>>")
+    return feats.join(rare, ["project", "id"], "left").withColumn("overlap", F.coalesce(keys, none)).drop("_rare")
+
+
+def _exact_keys() -> Column:
+    """Blocks of rows that may pair by name, by value, by a token of few or by a reference, as (block, at, n)."""
+    generic = X.words(vocab.GENERIC_TOKENS)
+    wide = F.filter("tokens", lambda t: F.length(t) >= 4)
+    plain = F.array_except(wide, generic)
+    # a generic token counts only beside another one, which is short or a plain one
+    beside = F.array_except(F.filter("tokens", lambda t: F.length(t) < 4), generic)
+    both = F.flatten(F.transform(F.array_intersect(wide, generic), lambda t: F.transform(
+        beside, lambda u: F.concat(F.lit("c:"), t, F.lit(" "), u))))
+    few = F.when(F.size("tokens") <= 3, F.concat(F.transform(plain, lambda t: F.concat(F.lit("s:"), t)), both))
+    none = F.array().cast("array<string>")
+    value_key = F.when(F.col("anchor"), F.array(F.concat(F.lit("h:"), F.coalesce("value_hash", F.lit("")))))
+    blocks = F.concat(F.array(F.concat(F.lit("n:"), F.col("norm"))), F.coalesce(value_key, none), F.coalesce(few, none),
+                      F.transform("refs", lambda r: F.concat(F.lit("r:"), r)))
+    return F.transform(blocks, lambda k: F.struct(k.alias("block"), F.lit(0).alias("at"), F.lit(0).alias("n")))
+
+
+def share_token(a: Side, b: Side) -> Column:
+    """What makes two rows candidates if neither name nor value does."""
+    return F.exists(F.array_intersect(a["tokens"], b["tokens"]), lambda t: F.length(t) >= 3)
+
+
+def named_pairs(feats: DataFrame) -> DataFrame:
+    """Distinct (project, id_a, id_b) where the text of one row holds the name of the other, or its first word.
+
+    Rows of a scope meet inside their file.  The name that a word spells has that
+    word's tokens, so words without a token of the row's own meet only names of
+    several words."""
+    place = ["project", "file", "scope", "id"]
+    rows = feats.filter(F.length("name") >= 3)
+    words = rows.select(*place, "tokens", F.explode("link_words").alias("word")).withColumn(
+        "akin", F.exists(F.array_intersect("tokens", N.name_tokens(F.col("word"))), lambda t: F.length(t) >= 3)).drop("tokens")
+    targets = rows.select(*[F.col(c).alias(f"t_{c}") if c not in ("project", "file") else F.col(c) for c in place], "odd_name",
+                          F.regexp_extract("name", r"(?U)\w+", 0).alias("word"))
+
+    def met(words, targets, keys, condition):
+        if "file" not in keys:
+            targets = targets.drop("file")
+        return words.join(targets, keys).filter((F.col("akin") | F.col("odd_name")) & (F.col("id") != F.col("t_id")) & condition).select(
+            "project", F.least("id", "t_id").alias("id_a"), F.greatest("id", "t_id").alias("id_b"))
+
+    across = met(words.filter("scope = ''"), targets.filter("t_scope = ''"), ["project", "word"], F.lit(True))
+    within = met(words, targets, ["project", "file", "word"], (F.col("scope") != "") | (F.col("t_scope") != ""))
+    return across.union(within).distinct()
+
+
 def blocked_pairs(feats: DataFrame, max_bucket: int | None = None) -> DataFrame:
     """Eligible pairs with both sides' features, once per shared block.
 
     The block rows carry their features, so a pair needs no second look-up of
     its sides; the copies a pair gets from several blocks are merged after
-    scoring, where most candidates are gone.  A block of one row pairs with
-    nothing, so without a bound no sizes are counted."""
-    rows = feats.withColumn("block", F.explode(_keys()))
+    scoring, where most candidates are gone.  Rows that share no more than a
+    common token do not meet: each rule that names with different words can pair
+    by has keys of its own (`overlap_keys`, `_exact_keys`, `named_pairs`), so a
+    block of a common token grows with the pairs it gives.  With a bound the
+    blocks of `block_keys` up to that size are paired whole."""
+    own = [c for c in feats.columns if c != "project"]
+    a, b = Side("a"), Side("b")
     if max_bucket is not None:
+        rows = feats.withColumn("block", F.explode(_keys()))
         rows = filter_blocks(rows, max_bucket, block_sizes(block_keys(feats)))
-    own = [c for c in feats.columns if c != "project"]
+        return _met(rows, own, F.lit(True))
+    keyed = overlap_keys(feats).withColumn("key", F.explode(F.concat(_exact_keys(), "overlap")))
+    rows = keyed.select(*feats.columns, "key.block", F.col("key.at").alias("at"), F.col("key.n").alias("n"))
+    left = F.least(a["n"] - a["at"], b["n"] - b["at"])
+    by_name = F.substring("k_block", 1, 2).isin("n:", "h:")
+    blocked = _met(rows, [*own, "at", "n"], (left >= F.ceil((a["n"] + b["n"]) / 3)) & (by_name | share_token(a, b)))
+    blocked = blocked.drop("a_at", "a_n", "b_at", "b_n")
+    named = stage(named_pairs(feats), "named-pairs")
+    for side in "ab":
+        named = named.join(feats.select("project", *[F.col(c).alias(f"{side}_{c}") for c in own]).withColumn(
+            f"id_{side}", F.col(f"{side}_id")), ["project", f"id_{side}"])
+    return blocked.unionByName(named.drop("id_a", "id_b").filter(share_token(a, b) & eligible(a, b)))
+
+
+def _met(rows: DataFrame, own: list[str], condition: Column) -> DataFrame:
+    """Eligible pairs of rows (project, block, own columns) that share a block: unscoped ones, and those of one file."""
     a, b = Side("a"), Side("b")
 
-    def met(rows, keys, condition):
+    def met(rows, keys, also):
         # both sides read the same columns, so Spark shuffles the rows once
         left = rows.select("project", *[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(c).alias(f"a_{c}") for c in own])
         right = rows.select("project", *[F.col(c).alias(f"k_{c}") for c in keys], *[F.col(c).alias(f"b_{c}") for c in own])
         on = ["project", *[f"k_{c}" for c in keys]]
-        return left.hint("merge").join(right, on).filter((a["id"] < b["id"]) & condition & eligible(a, b)).drop(*on[1:])
+        return left.hint("merge").join(right, on).filter(
+            (a["id"] < b["id"]) & also & condition & eligible(a, b)).drop(*on[1:])
 
     across = met(rows.filter("scope = ''"), ["block"], F.lit(True))
     within = met(rows, ["file", "block"], (a["scope"] != "") | (b["scope"] != ""))
@@ -392,16 +494,18 @@ def ignore_per_project(feats: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def scored_pairs(registry: DataFrame, *, settings: dict | None = None, units: DataFrame | None = None,
-                 ignored: DataFrame | None = None, max_bucket: int | None = None, sides: bool = True) -> DataFrame:
+                 ignored: DataFrame | None = None, max_bucket: int | None = None, sides: bool = True,
+                 extracted: DataFrame | None = None) -> DataFrame:
     """All scored pairs of every project, before verdicts.
 
     sides: with the rows of both sides for display; without them the display
     columns never enter a shuffle, and verdicts, rules and counts need none.
 
     settings: apply to all projects; ignored: (project, name) rows on top of
-    them; units: (project, pattern) rows of standalone-unit patterns."""
+    them; units: (project, pattern) rows of standalone-unit patterns; extracted:
+    rows with whole values, for `live_features`."""
     # four steps below read the features: they are computed once and staged
-    live = stage(live_features(registry, settings), "features")
+    live = stage(live_features(registry, settings, extracted), "features")
     base = live.filter("linkable").drop("linkable")
     feats = with_references(base, live)
     if ignored is not None:
@@ -472,11 +576,12 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
 def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
                     include_dismissed: bool = False, settings: dict | None = None,
                     units: DataFrame | None = None, paths: DataFrame | None = None,
-                    ignored: DataFrame | None = None, max_bucket: int | None = None) -> DataFrame:
+                    ignored: DataFrame | None = None, max_bucket: int | None = None,
+                    extracted: DataFrame | None = None) -> DataFrame:
     """Suspect pairs with verdicts and learned rules applied.
 
     paths: all file paths (project, path), used to detect standalone units when
-    the settings name none."""
+    the settings name none; extracted: rows with whole values, for `live_features`."""
     cfg = {**vocab.DEFAULT_SETTINGS, **(settings or {})}
     patterns = cfg["standalone_units"] or []
     patterns = [patterns] if isinstance(patterns, str) else list(patterns)
@@ -485,7 +590,7 @@ def find_duplicates(registry: DataFrame, reviews: DataFrame | None = None, *,
             "project", F.explode(F.array(*[F.lit(p) for p in patterns])).alias("pattern"))
     elif units is None and paths is not None and cfg["auto_standalone_units"]:
         units = auto_unit_patterns(paths, cfg["exclude_dirs"])
-    pairs = scored_pairs(registry, settings=cfg, units=units, ignored=ignored, max_bucket=max_bucket)
+    pairs = scored_pairs(registry, settings=cfg, units=units, ignored=ignored, max_bucket=max_bucket, extracted=extracted)
     if reviews is None:
         return pairs.withColumn("review", F.lit(None).cast(
             "struct<verdict:string,note:string,ts:timestamp,learned:boolean>"))

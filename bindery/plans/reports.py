@@ -287,17 +287,22 @@ def finding_text(finding_rows: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- report
 
 def report(registry: DataFrame, pairs: DataFrame, top: int = 400) -> dict[str, DataFrame]:
-    """The report tables.  pairs: staged, with dismissed ones included."""
+    """The report tables.  pairs: staged, with dismissed ones included.
+
+    vars: `place` is a variable's position in its project (rows without a scope
+    first, then by file and line), `dup_level` the level of its best pair."""
     best = report_pairs(pairs, top)
     shown = registry.select(
         "project", N.row_id(F.col("file"), F.col("scope"), F.col("name")).alias("id"), "name", "file", "scope",
         F.coalesce(F.when(F.col("repo_line") != 0, F.col("repo_line")), F.col("line")).alias("line"),
         F.col("value_preview").alias("value"), "status", "origin", "lang", "note",
-        F.col("line").alias("_line"))
+        (F.col("scope") != "").alias("_scoped"), F.coalesce("line", F.lit(0)).alias("_line"))
+    placed = number_rows(shown, ["project"], ["_scoped", "file", "_line", "id"], "place").drop("_scoped", "_line")
+    levels = var_level(pairs).withColumnRenamed("level", "dup_level")
     omitted = pairs.groupBy("project").agg(
         F.greatest(F.count(F.lit(1)) - top, F.lit(0)).alias("omitted"))
     return {
-        "vars": shown.orderBy("project", F.col("scope") != "", "file", F.coalesce("_line", F.lit(0)), "id").drop("_line"),
+        "vars": placed.join(levels, ["project", "id"], "left").orderBy("project", "place"),
         "pairs": best.orderBy("project", F.desc("score_int"), "pair_key"),
         "omitted": omitted,
         "level_counts": level_counts(pairs),

@@ -1,5 +1,6 @@
 """Pair scenarios: each project is one small repository."""
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -190,6 +191,55 @@ def test_candidates_equal_brute_force(spark, registry):
     assert have == want
 
 
+LINKED = ["project", "id_a", "id_b", "score_int", "level", "reason", "family", "family_size"]
+
+
+def wordy(n=160):
+    """Names of one to five words out of few, short and generic ones among them, and values that hold other names."""
+    rng = random.Random(4)
+    words = "cache value name host db io q port primary replica reader writer total count".split()
+    names = ["_".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(n)] + ["$odd name", "host-port", "db cache"]
+    lines = [f"{rng.choice(names).replace('$', '').replace(' ', '_').replace('-', '_')} = {rng.choice(names)} + {i % 7}" for i in range(n)]
+    files = {f"d{i % 5}/f{i % 23}.py": "\n".join(lines[i::23]) + "\n" for i in range(23)}
+    files |= {f"s{i}/run.sh": f"{names[i].upper()}='{names[i + 1]} x'\nexport db_host=$PRIMARY_HOST_{i % 2}\n" for i in range(12)}
+    files |= {f"e/.env{i}": f"PRIMARY_HOST_{i % 2}=h{i}\nREADER-{i} = db\n" for i in range(6)}
+    files |= {"t/a.ts": "const host$port = hostPort + db_cache;\nfunction go() {\n  const db_cache = host$port;\n  const dbTotal = db_cache;\n}\n"}
+    return {"w": files}
+
+
+def test_scored_pairs_equal_those_of_whole_blocks(spark, registry):
+    """Every rule has keys that meet all of its pairs: nothing is lost against pairing the token blocks whole."""
+    other = stage(baseline(corpus_of(spark, wordy()), "2024-01-01"), "wordy")
+    seen = set()
+    for reg in (registry, other, registry.filter("false")):
+        have = sorted(tuple(r) for r in L.scored_pairs(reg).select(*LINKED).collect())
+        want = sorted(tuple(r) for r in L.scored_pairs(reg, max_bucket=10**9).select(*LINKED).collect())
+        assert have == want
+        seen |= {r[5] for r in want}
+    assert seen >= {"token-overlap", "shared-token", "alias-derived", "shared-source", "value-mismatch"}
+
+
+def test_a_common_token_does_not_pair_its_block(spark):
+    n = 2000
+
+    def word(kind, i):
+        return kind + "".join(chr(97 + int(d)) for d in str(i))
+
+    parts = [("cache", word("x", i), word("y", i // 2), word("z", i // 3)) for i in range(n)]
+    lines = "".join(f"{'_'.join(p)} = {i}\n" for i, p in enumerate(parts))
+    feats = L.features(baseline(corpus_of(spark, {"p": {"f.py": lines}}), "2024-01-01")).withColumns(
+        {"refs": F.array().cast("array<string>"), "unit": F.lit(None).cast("string")})
+    feats = stage(feats.drop("mentions"), "common-token")
+    pairs = L.blocked_pairs(feats)
+    a, b = L.Side("a"), L.Side("b")
+    half = F.size(F.array_intersect(a["tokens"], b["tokens"])) * 2 >= F.size(F.array_union(a["tokens"], b["tokens"]))
+    found = {tuple(r) for r in pairs.filter(half).select("a_name", "b_name").collect()}
+    near = [(parts[i], parts[j]) for i in range(n) for j in range(max(0, i - 3), i)]
+    want = {frozenset(("_".join(p), "_".join(q))) for p, q in near if len({*p} & {*q}) * 2 >= len({*p} | {*q})}
+    assert {frozenset(p) for p in found} == want and want
+    assert pairs.count() < 5 * n
+
+
 def test_analyze_keeps_unsafe_paths_out(spark):
     files = spark.createDataFrame([("p1", "\\src\\a.py", "MAX_RETRIES = 5\n"), ("p1", "src/b.py", "MAX_RETRIES = 9\n"),
                                    ("p1", "../x.py", "A = 1\n"), ("bad id", "x.py", "A = 1\n")],
