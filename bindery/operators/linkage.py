@@ -557,10 +557,9 @@ def apply_learned(reviewed: DataFrame, rules: DataFrame | None, include_dismisse
     """Give unreviewed pairs the verdict of a matching rule; hide dismissed ones."""
     df = reviewed
     if rules is not None:
-        note = (F.when(F.col("rule").startswith("family:"),
-                       F.concat(F.lit("auto-quieted: matches a family you dismissed ("), F.col("family"), F.lit(")")))
-                .otherwise(F.concat(F.lit("auto-quieted: you dismissed another "), F.col("name_a"),
-                                    F.lit(" pair — this name repeats legitimately"))))
+        note = F.concat(F.lit("hidden by a rule: pairs of "), F.when(F.col("rule").startswith("family:"), F.concat(
+            F.lit("the family "), F.col("family"))).otherwise(F.concat(F.lit("the name "), F.col("name_a"))),
+            F.lit(" were dismissed before"))
         quiet = F.struct(F.lit("not_duplicate").alias("verdict"), note.alias("note"),
                          F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("learned"))
         # pairs that no rule can match keep out of the join, where they would all share one key

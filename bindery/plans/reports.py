@@ -367,8 +367,8 @@ def recall(registry: DataFrame, pairs: DataFrame | None = None, limit: int = 25,
         n = {lv: F.count_if(F.col("level") == lv).alias(lv) for lv in LEVELS}
         summary = pairs.groupBy("project").agg(*n.values()).select(
             "project", F.lit(1).alias("section"), F.lit(0).alias("ord"), F.format_string(
-                "Duplicate-variable suspects: %d high, %d medium, %d low — check them before "
-                "introducing a new variable for an existing concept.", *LEVELS).alias("text"))
+                "Suspected duplicates: %d high, %d medium, %d low. A name for the same thing may be among them.",
+                *LEVELS).alias("text"))
         parts = parts.unionByName(summary)
     titles = F.create_map(
         F.lit(2), F.lit("\n### Changed in the repo since they were written (drifted)\n"),
