@@ -14,6 +14,7 @@ from ..schema import CHANGE_EVENTS
 from ..sources import corpus as C
 from ..staging import stage_dir
 from ..streaming import capture as J
+from ..streaming import feed as J5
 from . import derive as D
 from .pairs import ELIGIBLE, FEATURES, SCORED
 
@@ -416,6 +417,19 @@ def tail(spark, sf):
     return spark.table(name)
 
 
+def change_feed(spark, sf):
+    """Two versions of the registry, and what the stream of their changes brings."""
+    path = f"{stage_dir(spark)}/feed-{uuid.uuid4().hex}"
+    r = D.registry(spark, sf)
+    seq = F.col("seq")
+    newer = r.filter(seq % 5 != 0).withColumn("status", F.when(seq % 3 == 0, "drifted").otherwise(F.col("status")))
+    for version, rows in enumerate((r.filter(seq % 7 != 0), newer), 1):
+        J5.publish(rows, path, version)
+    sink = J5.tail_changes(spark, path).writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint")
+    sink.trigger(availableNow=True).start(f"{path}/seen").awaitTermination()
+    return spark.read.parquet(f"{path}/seen").groupBy("project", "version", "op").agg(F.count(F.lit(1)).alias("rows"))
+
+
 CAPTURED = f"""WITH {D.EVENT_LOG}, {D.CHANGES},
 ok AS (SELECT * FROM changes WHERE tool_name <> 'Read' AND path NOT IN ('', '/elsewhere/a.py', 'dist', 'notes.txt')),
 held AS (
@@ -528,5 +542,12 @@ QUERIES = {
           FROM held h WHERE claimed GROUP BY h.project) WHERE n > 0
         UNION ALL SELECT project, 'went_missing', count(*) FROM gone WHERE went GROUP BY ALL"""),
     "j6_event_time": (event_time, EVENT_TIME),
+    "j5_change_feed": (change_feed, f"""{REG}, one AS (SELECT * FROM registry WHERE seq % 7 <> 0),
+        two AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 'drifted' ELSE status END AS status) FROM registry WHERE seq % 5 <> 0),
+        diff AS (SELECT coalesce(o.project, t.project) AS project, CASE WHEN o.file IS NULL THEN 'insert' WHEN t.file IS NULL THEN 'delete'
+            WHEN o.status <> t.status THEN 'update' END AS op
+          FROM one o FULL JOIN two t USING (project, file, scope, name))
+        SELECT project, 2 AS version, op, count(*) AS rows FROM diff WHERE op IS NOT NULL GROUP BY ALL
+        UNION ALL SELECT project, 1, 'insert', count(*) FROM one GROUP BY project"""),
     "j5_registry_tail": (tail, f"{REG} SELECT project, status, count(*) AS count FROM registry GROUP BY ALL"),
 }

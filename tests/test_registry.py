@@ -12,6 +12,7 @@ from bindery.plans.analyze import baseline
 from bindery.schema import CHANGE_EVENTS, REGISTRY, REGISTRY_COLUMNS
 from bindery.sources.versions import VersionTable
 from bindery.streaming import capture as J
+from bindery.streaming import feed as F_
 
 T0 = "2024-01-01 00:00:00"
 
@@ -183,6 +184,25 @@ def test_capture_leaves_no_scratch_tables(spark, tmp_path):
     assert set(os.listdir(staged)) == before
 
 
+def test_the_change_feed_shows_deletions(spark, tmp_path):
+    path = str(tmp_path / "feed")
+    reg = baseline(corpus(spark, {"a.py": "A = 1\nB = 2\n", "b.py": "C = 3\n"}), T0).persist()
+    later = reg.filter("name <> 'B'").withColumn("status", F.when(F.col("name") == "C", "drifted").otherwise(F.col("status")))
+    F_.publish(reg, path, 1)
+    F_.publish(later, path, 2)
+    F_.publish(reg.filter("false"), path, 2)  # a complete version stays
+    F_.publish(reg, path, 5)
+    for _ in range(2):
+        sink = F_.tail_changes(spark, path, maxFilesPerTrigger=1).writeStream.format("parquet")
+        sink.option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start(f"{path}/seen").awaitTermination()
+    got = {(r.version, r.op, r.name, r.before and r.before.status, r.after and r.after.status)
+           for r in spark.read.parquet(f"{path}/seen").collect()}
+    assert got == {(1, "insert", n, None, "active") for n in "ABC"} | {
+        (2, "delete", "B", "active", None), (2, "update", "C", "active", "drifted"),
+        (5, "insert", "B", None, "active"), (5, "update", "C", "drifted", "active")}
+    assert sorted(p.name for p in (tmp_path / "feed").glob("snapshot=*")) == ["snapshot=2", "snapshot=5"]
+
+
 def test_second_feed_and_rejects(spark):
     rows = [change(1, "Write", "A = 1\n", session="kilo:x"), change(2, "Write", "A = 1\n", session="7"),
             change(3, "Bash", "A = 1\n"), change(4, "Write", "A = 1\n", path="/other/a.py"),
