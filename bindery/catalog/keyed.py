@@ -56,10 +56,12 @@ w AS (SELECT 'o' || (l_orderkey % 16)::varchar AS project, l_orderkey::varchar A
   round(l_extendedprice)::bigint::varchar || '/' || l_partkey::varchar AS value, l_suppkey::varchar AS session,
   CASE WHEN l_returnflag = 'N' THEN 'scan' ELSE 'claude' END AS origin, l_shipdate AS ts,
   {'ts': l_shipdate, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey, 'q': l_quantity, 'p': l_extendedprice} AS seen, l_shipdate < '1998-01-01' AS early FROM lineitem),
+nth AS (SELECT *, row_number() OVER (PARTITION BY project, file, name, early
+  ORDER BY ts, seen.l_partkey, seen.l_suppkey, seen.q, seen.p) AS n FROM w),
 folded AS (
-  SELECT project, file, name, early, arg_max(value, seen) AS value, arg_min(session, seen) AS first_session,
-    arg_max(session, seen) AS session, min(ts) AS first_ts, max(ts) AS ts, arg_min(origin, seen) AS created,
-    arg_max(origin, seen) FILTER (WHERE origin <> 'scan') AS agent FROM w GROUP BY ALL),
+  SELECT project, file, name, early, arg_max(value, n) AS value, arg_min(session, n) AS first_session,
+    arg_max(session, n) AS session, min(ts) AS first_ts, max(ts) AS ts, arg_min(origin, n) AS created,
+    arg_max(origin, n) FILTER (WHERE origin <> 'scan') AS agent FROM nth GROUP BY project, file, name, early),
 old AS (SELECT * FROM folded WHERE early), new AS (SELECT * FROM folded WHERE NOT early)
 """
 
