@@ -248,3 +248,14 @@ def test_analyze_keeps_unsafe_paths_out(spark):
     assert [(r.level, r.reason) for r in out["pairs"].collect()] == [("high", "value-mismatch")]
     assert out["rejects"].count() == 2
     assert {(r.project, r.lang, r.rows) for r in out["languages"].collect()} == {("p1", "python", 2)}
+
+
+def test_whole_blocks_meet_every_eligible_pair(spark, registry):
+    """Features without references do, as the rules are not asked."""
+    feats = stage(L.features(registry).withColumn("unit", F.lit(None).cast("string")), "whole")
+    met = L.blocked_pairs(feats, whole=True)
+    have = {tuple(r) for r in met.select("project", "a_id", "b_id").collect()}
+    a, b = (feats.select("project", *[F.col(c).alias(f"{s}_{c}") for c in feats.columns if c != "project"]) for s in "ab")
+    want = L.candidate_pairs(L.filter_blocks(L.block_keys(feats))).selectExpr("project", "id_a as a_id", "id_b as b_id")
+    want = want.join(a, ["project", "a_id"]).join(b, ["project", "b_id"]).filter(L.eligible(L.Side("a"), L.Side("b")))
+    assert have == {tuple(r) for r in want.select("project", "a_id", "b_id").collect()} and have
