@@ -259,3 +259,20 @@ def test_whole_blocks_meet_every_eligible_pair(spark, registry):
     want = L.candidate_pairs(L.filter_blocks(L.block_keys(feats))).selectExpr("project", "id_a as a_id", "id_b as b_id")
     want = want.join(a, ["project", "a_id"]).join(b, ["project", "b_id"]).filter(L.eligible(L.Side("a"), L.Side("b")))
     assert have == {tuple(r) for r in want.select("project", "a_id", "b_id").collect()} and have
+
+
+def test_blocks_in_cells_give_the_same_pairs(spark, registry, monkeypatch):
+    """A block larger than a cell is paired in parts, each pair of rows in one of them."""
+    other = stage(baseline(corpus_of(spark, wordy()), "2024-01-01"), "cells")
+    rows = other.unionByName(registry)
+    want = sorted(tuple(r) for r in L.scored_pairs(rows).select(*LINKED).collect())
+    monkeypatch.setattr(L, "CELL_ROWS", 5)
+    monkeypatch.setattr(L, "TASK_PAIRS", 2000)
+    assert sorted(tuple(r) for r in L.scored_pairs(rows).select(*LINKED).collect()) == want
+    feats = stage(L.features(rows).withColumn("unit", F.lit(None).cast("string")), "cells")
+    shared = F.size(F.array_intersect("a_telling", "b_telling"))
+    # once per shared block: the tokens, the name and the value
+    times = L.blocked_pairs(feats, whole=True).groupBy("project", "a_id", "b_id").agg(
+        F.count(F.lit(1)).alias("n"), F.first(shared + (F.col("a_norm") == F.col("b_norm")).cast("int") + F.coalesce(
+            F.col("a_anchor") & F.col("b_anchor") & (F.col("a_value_hash") == F.col("b_value_hash")), F.lit(False)).cast("int")).alias("want"))
+    assert times.filter("n <> want").count() == 0 and times.filter("n > 1").count() > 0
