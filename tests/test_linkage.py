@@ -1,6 +1,7 @@
 """Pair scenarios: each project is one small repository."""
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -276,3 +277,19 @@ def test_blocks_in_cells_give_the_same_pairs(spark, registry, monkeypatch):
         F.count(F.lit(1)).alias("n"), F.first(shared + (F.col("a_norm") == F.col("b_norm")).cast("int") + F.coalesce(
             F.col("a_anchor") & F.col("b_anchor") & (F.col("a_value_hash") == F.col("b_value_hash")), F.lit(False)).cast("int")).alias("want"))
     assert times.filter("n <> want").count() == 0 and times.filter("n > 1").count() > 0
+
+
+def test_the_jvm_compiles_the_joins_of_pairs(spark, registry, capsys):
+    """A generated method of more than 8,000 bytes is interpreted, at several times the cost of each pair."""
+    pairs = L.scored_pairs(registry, sides=False).select("project", "pair_key", "score_int", "level", "reason")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs.explain(mode="codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = []
+    for stage_code in capsys.readouterr().out.split("== Subtree ")[1:]:
+        own = re.search(r"\*\(\d+\)", stage_code)[0]
+        if f"{own} SortMergeJoin" in stage_code:
+            sizes.append(int(re.search(r"maxMethodCodeSize:(\d+)", stage_code)[1]))
+    assert sizes and max(sizes) <= 8000
