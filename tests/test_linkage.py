@@ -279,6 +279,18 @@ def test_blocks_in_cells_give_the_same_pairs(spark, registry, monkeypatch):
     assert times.filter("n <> want").count() == 0 and times.filter("n > 1").count() > 0
 
 
+def test_rows_meet_once_for_all_their_blocks(spark, registry):
+    """Two rows of several common blocks are looked at in one of them; rows that come twice still give a pair once."""
+    reg = stage(baseline(corpus_of(spark, wordy()), "2024-01-01").unionByName(registry), "once")
+    live = L.live_features(reg)
+    feats = L.with_references(live.filter("linkable").drop("linkable"), live).withColumn("unit", F.lit(None).cast("string"))
+    met = stage(L.blocked_pairs(stage(feats, "once")).select("project", "a_id", "b_id", "a_norm", "b_norm", "a_telling", "b_telling"), "once")
+    assert met.filter("a_norm = b_norm and size(a_telling) > 1").count() > 0
+    assert met.count() == met.select("project", "a_id", "b_id").distinct().count()
+    want = sorted(tuple(r) for r in L.scored_pairs(reg).select(*LINKED).collect())
+    assert sorted(tuple(r) for r in L.scored_pairs(reg.unionByName(reg)).select(*LINKED).collect()) == want and want
+
+
 def test_the_jvm_compiles_the_joins_of_pairs(spark, registry, capsys):
     """A generated method of more than 8,000 bytes is interpreted, at several times the cost of each pair."""
     pairs = L.scored_pairs(registry, sides=False).select("project", "pair_key", "score_int", "level", "reason")
