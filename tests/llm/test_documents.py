@@ -1,5 +1,6 @@
 """Operators on texts against brute force, over odd rows and an empty table."""
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -150,6 +151,21 @@ def test_near_dedup_drops_what_three_bits_do_not_reach(spark):
     assert {r.doc_id for r in kept.collect()} == groups
 
 
+def test_near_dedup_links_fingerprints_too(spark):
+    """Texts that one shingle dominates have near fingerprints and few distinct shingles in common."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = ["tick " * 900 + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(30)) for _ in range(2)]
+    rows = [(1, texts[0], "en", "s", 1), (2, texts[1], "en", "s", 1), (3, "another text of its own words", "en", "s", 1),
+            (1, texts[0], "en", "r", 2), (None, texts[0], "en", "s", 1)]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() <= 3
+    docs = frame(spark, rows, clash=False)
+    assert {r[0] for r in shingles.near_groups(docs).select("component_id").collect()} == {1, 2, 3}
+    kept = corpus_pipeline.near_dedup(spark, docs, "")
+    assert rows_of(kept, "doc_id", "source") == [(1, "r"), (3, "s"), (None, "s")]
+
+
 # --------------------------------------------------------- decontamination
 
 def items_of(rows):
