@@ -31,7 +31,7 @@ from .wordscan import Powers
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
-#: distinct pieces, and ids of all of them, that a task keeps; one slice of texts may exceed them
+#: distinct pieces, and ids of all of them, that a worker keeps; one slice of texts may exceed them
 CACHE, CACHE_IDS = 400_000, 6_000_000
 #: ASCII marks but the apostrophe
 MARKS = "".join(map(chr, [*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -132,7 +132,7 @@ def load(path: str):
 
 
 class Encoder:
-    """Token ids of texts through a bounded cache of pieces, which ends with the task."""
+    """Token ids of texts through a bounded cache of pieces, which the tasks of a worker share (`encoder`)."""
 
     def __init__(self, path: str):
         self.library, self.plain, self.ends = worker_state(f"tokenizer {path}", lambda: load(path))
@@ -257,14 +257,19 @@ class Encoder:
         return out, total
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: a task finds the pieces that earlier ones have encoded."""
+    return worker_state(f"encoder {path}", lambda: Encoder(path))
+
+
 def _encode(path: str, end: int, names: list[str]):
     def run(batches):
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = byte_view(batch.column(1))
             data = memoryview(data)
             for low, high in row_slices(offsets, 1 << 19, rows=4096):
-                ids, size = encoder([bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])], end)
+                ids, size = encode([bytes(data[a:b]) for a, b in zip(offsets[low:high], offsets[low + 1:high + 1])], end)
                 start = np.cumsum(size) - size
                 lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), ids)
                 yield pa.RecordBatch.from_arrays(

@@ -4,8 +4,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from corpora import documents, frame, rows_of
@@ -305,6 +307,19 @@ def test_forgetting_changes_no_result(library, monkeypatch):
         assert encoder([r[1].encode()], 2)[0].tolist() == [*want, 2]
 
 
+def test_tasks_of_a_worker_encode_a_piece_once(library, monkeypatch):
+    learned, learn = [], tokenids.Encoder.learn
+    monkeypatch.setattr(tokenids.Encoder, "learn", lambda self, pieces: (learned.extend(pieces), learn(self, pieces))[1])
+    monkeypatch.setattr(tokenids.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = ["qzxvword qzxvother qzxvword", None, "qzxvother 77qzxv"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": texts})
+    run = tokenids._encode(tokenids.tokenizer_path(), 2, ["part", "doc_id", "local_start", "n_tokens", "ids"])
+    tasks = [[b.to_pydict() for b in run([batch])] for _ in range(2)]
+    assert tasks[0] == tasks[1]
+    assert [i for b in tasks[1] for i in b["ids"]] == [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert learned and len(learned) == len(set(learned))
+
+
 def test_pieces_with_equal_hashes_keep_their_own_ids(library):
     """Hashes that are polynomials modulo a power of two agree for these two words."""
     word = "a"
