@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from bindery.catalog.pairs import eligible_pairs
 from bindery.operators import linkage as L
 from bindery.plans.analyze import analyze, baseline
 from bindery.schema import REVIEWS
@@ -262,6 +263,15 @@ def test_whole_blocks_meet_every_eligible_pair(spark, registry):
     assert have == {tuple(r) for r in want.select("project", "a_id", "b_id").collect()} and have
 
 
+def test_eligible_pairs_read_their_features_once(spark, tmp_path):
+    rows = [(k, f"{'red green blue'.split()[k % 3]} {'apple pear'.split()[k % 2]} x", f"Brand#{k % 2}", "PROMO TIN", k % 4) for k in range(60)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    pairs = eligible_pairs(spark, str(tmp_path))
+    assert pairs.count() > 0
+    assert "p_partkey" not in pairs._jdf.queryExecution().analyzed().toString()
+
+
 def test_blocks_in_cells_give_the_same_pairs(spark, registry, monkeypatch):
     """A block larger than a cell is paired in parts, each pair of rows in one of them."""
     other = stage(baseline(corpus_of(spark, wordy()), "2024-01-01"), "cells")
