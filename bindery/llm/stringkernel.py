@@ -22,6 +22,8 @@ SAMPLE, LANDMARKS = 500, 64
 RIDGE = 1e-3
 #: what the share of known n-grams of a text may lie below that of labelled texts
 SLACK = 0.15
+#: steps of a share
+SHARES = 10_000
 #: values of `lang_pred` for texts that are null or hold no letter
 UNDETERMINED = "und"
 
@@ -182,14 +184,19 @@ def familiar(model: Model, text_col: str = "text") -> Column:
     return F.arrow_udf(run, "double")(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def least_familiar(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
-                   lang_col: str = "lang", size: int = SAMPLE) -> float:
-    """The share (`familiar`) that 99 of 100 labelled texts of every language reach, less `SLACK`."""
-    rows = sample(docs, F.lit(True), id_col, text_col, lang_col, size).select("lang", familiar(model).alias("share"))
-    last = rows.groupBy("lang").agg(F.percentile("share", 0.01).alias("q"), F.count("*").alias("n"), F.min("share").alias("least"))
-    # of fewer than a hundred texts the lowest
-    found = last.agg(F.min(F.when(F.col("n") < 100, F.col("least")).otherwise(F.col("q")))).first()[0]
-    return 0.0 if found is None else found - SLACK
+def least_familiar(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> float:
+    """The share (`familiar`) that 99 of 100 labelled texts of every language reach, less `SLACK`.
+
+    Every labelled text counts; shares are told apart by `SHARES` steps, so that a language is no more rows than that.
+    """
+    docs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    shares = docs.select(F.col(lang_col).alias("lang"), F.floor(familiar(model, text_col) * SHARES).alias("share"))
+    steps = shares.groupBy("lang", "share").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("lang")
+    below = steps.withColumns({"upto": F.sum("n").over(whole.orderBy("share")), "all": F.sum("n").over(whole)})
+    last = below.where("upto * 100 > all").groupBy("lang").agg(F.min("share").alias("share"))
+    found = last.agg(F.min("share")).first()[0]
+    return 0.0 if found is None else found / SHARES - SLACK
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

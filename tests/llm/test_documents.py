@@ -242,6 +242,45 @@ def test_pipeline_drops_texts_of_no_learned_language(spark):
     assert kept == {r[0] for r in clean}
 
 
+def test_pipeline_names_the_language_of_texts_without_a_label(spark):
+    import corpus_pipeline
+
+    clean = documents(seed=3, n=400)[:400]
+    rows = [(i, t, None if i % 5 == 0 else lang, s, n) for i, t, lang, s, n in clean]
+    kept = corpus_pipeline.language_id(spark, frame(spark, rows, clash=False), "").collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in clean}
+    right = [r.lang == clean[r.doc_id][2] for r in kept if r.doc_id % 5 == 0]
+    assert len(right) == 80 and sum(right) >= 70
+    assert all(r.lang == clean[r.doc_id][2] for r in kept if r.doc_id % 5)
+
+
+def test_pipeline_learns_from_every_labelled_row(spark):
+    import corpus_pipeline
+
+    # all that is French lies among the rows that op4 holds out
+    clean = [r for r in documents(seed=3, n=900)[:900] if (zlib.crc32(str(r[0]).encode()) % 4 == 2) == (r[2] == "fr")]
+    assert {r[2] for r in clean} == {"de", "en", "fr"}
+    rows = clean + [(1000 + i, t, None, "src0", len(t)) for i, t in enumerate(STRANGE)]
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, frame(spark, rows, clash=False), "").collect()}
+    assert kept == {r[0] for r in clean}
+
+
+def test_least_familiar_counts_every_labelled_text(spark):
+    rng = random.Random(5)
+    rows = documents(seed=5, n=1800)[:1800]
+    # more of each language than a model is fitted on; some words are of no language
+    rows = [(i, t + " " + "".join(rng.choice("bcdfgkpqvwxz") for _ in range(rng.randint(0, 200))), lang, s, n) for i, t, lang, s, n in rows]
+    docs = frame(spark, rows)
+    model = stringkernel.train(docs, F.lit(True))
+    shares = docs.select("lang", stringkernel.familiar(model).alias("share")).collect()
+    lowest = []
+    for lang in {r[2] for r in rows}:
+        of_lang = sorted(r.share for r in shares if r.lang == lang)
+        assert len(of_lang) > stringkernel.SAMPLE
+        lowest.append(of_lang[len(of_lang) // 100])
+    assert abs(stringkernel.least_familiar(docs, model) + stringkernel.SLACK - min(lowest)) <= 1 / stringkernel.SHARES
+
+
 def test_language_with_nothing_to_learn_from(docs, nothing):
     model = stringkernel.train(nothing, F.lit(True))
     assert {r.lang_pred for r in stringkernel.identify(docs, model).collect()} == {"und"}
