@@ -315,3 +315,20 @@ def test_the_jvm_compiles_the_joins_of_pairs(spark, registry, capsys):
         if f"{own} SortMergeJoin" in stage_code:
             sizes.append(int(re.search(r"maxMethodCodeSize:(\d+)", stage_code)[1]))
     assert sizes and max(sizes) <= 8000
+
+
+def test_verdicts_leave_the_other_pairs_in_place(spark):
+    pairs = spark.range(300).selectExpr("if(id % 50 = 7, null, concat('p', id % 3)) project", "if(id % 40 = 9, null, concat('a', id, '||b')) pair_key", "id")
+    reviews = [(f"p{k % 3}", f"a{k}||b", v, "n", None) for k in range(0, 300, 7) for v in ("duplicate", "merged")] + [("p9", "a1||b", "merged", "n", None)]
+    reviews = spark.createDataFrame(reviews, REVIEWS)
+    pairs = stage(pairs, "t")
+    joined = L.join_reviews(pairs, reviews)
+    got = {r.id: r.review and r.review.verdict for r in joined.collect()}
+    known = {r.id for r in pairs.collect() if r.project and r.pair_key}
+    assert len(got) == 300 == joined.count()
+    assert {i for i, v in got.items() if v} == {i for i in known if i % 7 == 0}
+    # all that meets no verdict passes by a broadcast of hashes
+    assert "LeftAnti, BuildRight" in joined._jdf.queryExecution().sparkPlan().toString()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(L, "MOST_HASHES", 3)
+        assert {r.id: r.review and r.review.verdict for r in L.join_reviews(pairs, reviews).collect()} == got
