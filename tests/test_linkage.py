@@ -317,6 +317,19 @@ def test_the_jvm_compiles_the_joins_of_pairs(spark, registry, capsys):
     assert sizes and max(sizes) <= 8000
 
 
+def test_candidates_come_once_without_telling_pairs_apart(spark, monkeypatch):
+    # three blocks that overlap, one of them in cells; rows that come twice, rows without an id or a block
+    monkeypatch.setattr(L, "CELL_ROWS", 4)
+    rows = [("p", "x", f"i{k:02d}") for k in range(15)] + [("p", "y", f"i{k:02d}") for k in range(5, 20)]
+    rows += [("q", "x", f"i{k:02d}") for k in range(3)] + [("p", "z", "i01"), ("p", "z", "i19"), ("p", "z", "i19"), ("p", "alone", "i30")]
+    rows += [("p", None, "i01"), ("p", None, "i40"), ("p", "x", None), (None, "x", "i41"), (None, "x", "i42")]
+    pairs = L.candidate_pairs(spark.createDataFrame(rows, "project string, block string, id string"))
+    want = {(p, a, b) for p, k, a in rows for q, m, b in rows if None not in (p, k, a, b) and (p, k) == (q, m) and a < b}
+    got = [tuple(r) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "Aggregate" not in pairs._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_verdicts_leave_the_other_pairs_in_place(spark):
     pairs = spark.range(300).selectExpr("if(id % 50 = 7, null, concat('p', id % 3)) project", "if(id % 40 = 9, null, concat('a', id, '||b')) pair_key", "id")
     reviews = [(f"p{k % 3}", f"a{k}||b", v, "n", None) for k in range(0, 300, 7) for v in ("duplicate", "merged")] + [("p9", "a1||b", "merged", "n", None)]
