@@ -345,3 +345,15 @@ def test_verdicts_leave_the_other_pairs_in_place(spark):
     with pytest.MonkeyPatch.context() as m:
         m.setattr(L, "MOST_HASHES", 3)
         assert {r.id: r.review and r.review.verdict for r in L.join_reviews(pairs, reviews).collect()} == got
+
+
+def test_a_floor_on_levels_leaves_methods_that_the_jvm_compiles(spark, registry):
+    pairs = L.min_level(L.scored_pairs(registry, sides=False), "low").groupBy("project", "level").count()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+        code = pairs._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
