@@ -1,6 +1,8 @@
 """Extraction per language: what is found, where, and what is left alone."""
 import pytest
+from pyspark.sql import functions as F
 
+from bindery.operators import extract as E
 from bindery.operators.extract import brace_scope, extract_assignments, last_occurrence
 
 FILES = {
@@ -144,3 +146,10 @@ def test_long_line_does_not_overflow(spark):
     line = "const a = [" + ", ".join(f'"x{i}"' for i in range(40000)) + "];"
     corpus = spark.createDataFrame([("p", "a.js", line)], "project string, path string, content string")
     assert [r.name for r in extract_assignments(corpus).collect()] == ["a"]
+
+
+def test_lines_that_no_helper_needs_are_empty_lists(spark):
+    """A null list would cost a batch of such files the square of its rows."""
+    df = spark.createDataFrame([("env", ["A=1"]), ("go", ["x := 1"]), (None, ["y"]), ("go", None)], "lang string, raw array<string>")
+    got = df.select(E._listed(F.col("lang") == "go", "string", F.col("raw"))).collect()
+    assert [r[0] for r in got] == [[], ["x := 1"], [], []]

@@ -11,6 +11,7 @@ from bindery.operators.extract import extract_assignments
 from bindery.plans.analyze import baseline
 from bindery.schema import CHANGE_EVENTS, REGISTRY, REGISTRY_COLUMNS
 from bindery.sources.versions import VersionTable
+from bindery.staging import stage
 from bindery.streaming import capture as J
 from bindery.streaming import feed as F_
 
@@ -120,6 +121,33 @@ def test_capture_stream(spark, tmp_path):
                            ("went_missing", "DB_URL")]
 
 
+def test_a_micro_batch_of_one_file_is_spread(spark, tmp_path, monkeypatch):
+    read = {}
+
+    def staged(df, name, plain=J.stage):
+        table = plain(df, name)
+        read[name] = len(table.inputFiles())
+        return table
+
+    monkeypatch.setattr(J, "stage", staged)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        newest, _ = run_capture(spark, tmp_path, [[change(i, "Write", f"A{i} = 1\n", path=f"/w/p/src/f{i}.py") for i in range(1, 41)]])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(newest) == 40 and read["micro-batch"] > 1
+
+
+def test_late_events_are_told_from_the_extracted_rows(spark):
+    changes = spark.createDataFrame(SEQUENCE, CHANGE_EVENTS)
+    prior = stage(J.apply_changes(spark.createDataFrame([], REGISTRY), spark.createDataFrame(SEQUENCE[3:4], CHANGE_EVENTS))[0].select(
+        *REGISTRY_COLUMNS), "t")
+    rows, _, late = J.apply_changes(prior, changes)
+    assert "EvalPython" not in late._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.event_id for r in late.collect()) == [1, 2, 3]
+    assert {r.name: r.status for r in rows.collect()}["MAX_CONN"] == "active"
+
+
 def test_capture_of_a_large_file_and_the_rejects(spark, tmp_path):
     large = "A = 1\n" + "# note\n" * 200000 + "Z = 2\n"
     newest, _ = run_capture(spark, tmp_path, [[change(1, "Write", large), change(2, "Bash", "B = 1\n"),
